@@ -22,7 +22,7 @@ def days_floored(later: Column, earlier: Column) -> Column:
     return F.floor(_days(later, earlier)).cast("int")
 
 
-NOISE_DIGITS = 10
+NOISE_DIGITS = 12
 
 
 def rounded(x: Column, digits: int) -> Column:

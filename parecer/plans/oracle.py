@@ -25,7 +25,7 @@ def num(expr: str, digits: int = 6) -> str:
 
 def even(expr: str, digits: int = 1) -> str:
     """Half to even at so many digits, as double."""
-    return f"CAST(round_even(round(CAST({expr} AS DOUBLE), 10), {digits}) AS DOUBLE)"
+    return f"CAST(round_even(round(CAST({expr} AS DOUBLE), 12), {digits}) AS DOUBLE)"
 
 
 def whole(expr: str) -> str:
