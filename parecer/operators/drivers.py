@@ -11,8 +11,9 @@ from parecer.functions.measures import flag, rate_of, rounded, share
 from parecer.operators.facts import order_core
 from parecer.operators.orders import (
     filter_delivered,
-    item_categories,
+    join_items_products,
     join_orders_reviews,
+    named_products,
     order_freight_agg,
     order_pay_agg,
     order_review_avg,
@@ -81,7 +82,7 @@ def category_bad_rate(
     Items shrink to one weighted row per order and category before they meet the reviews.
     """
     weighted = (
-        item_categories(items, products, category_trans)
+        join_items_products(items, named_products(products, category_trans), "category")
         .groupBy("order_id", "category")
         .agg(F.count(F.lit(1)).alias("n_items"))
         .join(order_review_avg(reviews).select("order_id", "avg_score"), "order_id", "inner")

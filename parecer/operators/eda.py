@@ -12,10 +12,9 @@ from parecer.functions import fixed_values as fv
 from parecer.functions.ladders import cut, level
 from parecer.functions.measures import clip, flag, mean_of, rate_of, rounded_even, share
 from parecer.operators.orders import (
-    category_or_original,
     filter_delivered,
-    left_join_category,
     left_join_products,
+    named_products,
     with_floored_delay,
 )
 from parecer.operators.ranking import (
@@ -162,12 +161,7 @@ def sentiment(
 
 def category_gmv(items: DataFrame, products: DataFrame, category_trans: DataFrame) -> DataFrame:
     """Lines, value, mean price and freight per category; lines without category go."""
-    named = left_join_category(
-        left_join_products(items, products, "product_category_name"), category_trans
-    ).withColumn(
-        "category_en",
-        category_or_original("product_category_name_english", "product_category_name"),
-    )
+    named = left_join_products(items, named_products(products, category_trans), "category_en")
     return (
         named.where(F.col("category_en").isNotNull())
         .groupBy("category_en")

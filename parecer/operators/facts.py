@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 
 from parecer.functions.measures import flag, rounded, share
 from parecer.operators.orders import (
-    category_or_unknown,
     filter_delivered,
-    item_categories,
     join_items_products,
-    left_join_category,
     left_join_top_payment,
+    named_products,
     order_review_avg,
     with_delay_flags,
     with_truncated_delay,
@@ -74,9 +72,7 @@ def order_facts(
     lines = items.groupBy("order_id", "product_id").agg(
         F.sum("price").alias("price"), F.sum("freight_value").alias("freight")
     )
-    named = left_join_category(join_items_products(lines, products), category_trans).withColumn(
-        "category", category_or_unknown("product_category_name_english")
-    )
+    named = join_items_products(lines, named_products(products, category_trans), "category")
     sums = named.groupBy("order_id").agg(
         F.sum("price").alias("price"),
         F.sum("freight").alias("freight"),
@@ -111,7 +107,7 @@ def order_facts_category(
 ) -> DataFrame:
     """The narrower wide table of the category step."""
     sums = (
-        item_categories(items, products, category_trans)
+        join_items_products(items, named_products(products, category_trans), "category")
         .groupBy("order_id")
         .agg(
             F.sum("price").alias("price"),

@@ -110,15 +110,13 @@ def row_number_top1(payments: DataFrame) -> DataFrame:
     )
 
 
-def join_items_products(items: DataFrame, products: DataFrame) -> DataFrame:
-    """Items with the original category name of their product; other items go.
+def join_items_products(items: DataFrame, products: DataFrame, *columns: str) -> DataFrame:
+    """Items with the named columns of their product; items without product go.
 
     No hint: Spark broadcasts products when their measured size allows it, and otherwise
     AQE splits the partition of a product that holds a large part of the items.
     """
-    return items.join(
-        products.select("product_id", "product_category_name"), "product_id", "inner"
-    )
+    return items.join(products.select("product_id", *columns), "product_id", "inner")
 
 
 def left_join_products(items: DataFrame, products: DataFrame, *columns: str) -> DataFrame:
@@ -157,12 +155,17 @@ def category_or_unknown(english: str) -> Column:
     return F.coalesce(F.col(english), F.lit(fv.UNKNOWN_CATEGORY))
 
 
-def item_categories(
-    items: DataFrame, products: DataFrame, category_trans: DataFrame
-) -> DataFrame:
-    """Items of known products with their category, unknown ones labelled."""
-    return left_join_category(join_items_products(items, products), category_trans).withColumn(
-        "category", category_or_unknown("product_category_name_english")
+def named_products(products: DataFrame, category_trans: DataFrame) -> DataFrame:
+    """Products with both category names: original or English, and English or unknown.
+
+    Names are looked up once per product. The items, of which there are far more, then meet
+    one table instead of two, and never shuffle on a category that many of them share.
+    """
+    english, original = "product_category_name_english", "product_category_name"
+    return left_join_category(products, category_trans).select(
+        "product_id",
+        category_or_original(english, original).alias("category_en"),
+        category_or_unknown(english).alias("category"),
     )
 
 

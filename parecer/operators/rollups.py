@@ -11,11 +11,10 @@ from parecer.functions import fixed_values as fv
 from parecer.functions.ladders import Ladder
 from parecer.functions.measures import flag, mean_of, rate_among, rate_of, rounded, share
 from parecer.operators.orders import (
-    category_or_unknown,
     filter_delivered,
-    left_join_category,
     left_join_products,
     left_join_top_payment,
+    named_products,
     order_review_avg,
     with_floored_delay,
 )
@@ -42,9 +41,10 @@ def rollup_facts(
         "delay_days",
         flag(F.col("delay_days") > 0).alias("late"),
     )
-    named = left_join_category(
-        left_join_products(items, products, "product_category_name"), category_trans
-    ).withColumn("category", category_or_unknown("product_category_name_english"))
+    # Items of unknown products still count; they carry no category.
+    named = left_join_products(
+        items, named_products(products, category_trans), "category"
+    ).withColumn("category", F.coalesce("category", F.lit(fv.UNKNOWN_CATEGORY)))
     sums = named.groupBy("order_id").agg(
         F.sum("price").alias("price"),
         F.sum("freight_value").alias("freight"),

@@ -1,72 +1,118 @@
-"""What reviewers write: word counts, themes and samples."""
+"""What reviewers write: word counts, themes and samples.
+
+Texts are by far the widest column, so they are reduced to what a report needs before the
+join with the orders: ``measure_reviews`` reads each text once and keeps a few numbers and
+the shown prefix, and only those are shuffled. The reports that need the words themselves
+shuffle the kept words of the reviews they count, not the raw texts.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parecer.functions import fixed_values as fv
 from parecer.functions.measures import delay_phrase, flag, share
-from parecer.functions.text import clean_text, keep_word
+from parecer.functions.text import clean_text, keep_word, tokenize
 from parecer.operators.orders import filter_delivered, with_truncated_delay
 from parecer.operators.ranking import literal_rows
 
 MESSAGE = "review_comment_message"
+BAD = "review_score <= 2"
+GOOD = "review_score >= 4"
 
 
-def review_texts(reviews: DataFrame, orders: DataFrame) -> DataFrame:
-    """Non-empty reviews of delivered orders with the delay, null where not yet arrived."""
+def written(reviews: DataFrame) -> DataFrame:
+    """Reviews with a text."""
+    return reviews.where(F.col(MESSAGE).isNotNull() & (F.col(MESSAGE) != ""))
+
+
+def with_order_delay(reviews: DataFrame, orders: DataFrame) -> DataFrame:
+    """Reviews of delivered orders with the delay, null where not yet arrived."""
     delays = with_truncated_delay(
         filter_delivered(orders, arrival=False, promise=False)
     ).select("order_id", "delay_days")
-    written = reviews.where(F.col(MESSAGE).isNotNull() & (F.col(MESSAGE) != ""))
-    return written.join(delays, "order_id", "inner")
-
+    return reviews.join(delays, "order_id", "inner")
 
-def _bad() -> Column:
-    return F.col("review_score") <= 2
 
+def review_texts(reviews: DataFrame, orders: DataFrame) -> DataFrame:
+    """The non-empty texts themselves, with the delay of their order."""
+    return with_order_delay(written(reviews), orders)
 
-def _good() -> Column:
-    return F.col("review_score") >= 4
 
+def _theme_column(i: int) -> str:
+    return f"theme_{i}"
 
-def group_counts(texts: DataFrame) -> DataFrame:
-    """Texts per sentiment, and bad ones of late and of on-time orders.
 
-    Bad reviews of orders with unknown delay count in neither of the last two.
-    """
-    delay = F.col("delay_days")
-    return texts.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(flag(_bad())), F.lit(0)).alias("n_bad"),
-        F.coalesce(F.sum(flag(_good())), F.lit(0)).alias("n_good"),
-        F.coalesce(F.sum(flag(F.col("review_score") == 3)), F.lit(0)).alias("n_neutral"),
-        F.coalesce(F.sum(flag(_bad() & (delay > 0))), F.lit(0)).alias("n_bad_late"),
-        F.coalesce(F.sum(flag(_bad() & (delay <= 0))), F.lit(0)).alias("n_bad_on_time"),
-    ).withColumn("bad_pct", share(F.col("n_bad"), F.col("n")))
+def _one_of(words: Sequence[str]) -> Callable[[Column], Column]:
+    return lambda word: word.isin(*words)
 
 
-def word_rows(
-    texts: DataFrame,
-    label: Column,
+def measure_reviews(
+    reviews: DataFrame,
+    orders: DataFrame,
+    themes: Mapping[str, Sequence[str]] = fv.THEME_WORDS,
     stopwords: Sequence[str] = fv.STOPWORDS,
+    delay_words: Sequence[str] = fv.DELAY_WORDS,
+    prefix: int = 200,
+    key: str = "review_id",
     strip_accents: bool = False,
 ) -> DataFrame:
-    """(label, word) for every kept word of the texts that have a label."""
-    cleaned = clean_text(F.col(MESSAGE), strip_accents)
-    return (
-        texts.select(label.alias("label"), cleaned.alias("cleaned"))
-        .where(F.col("label").isNotNull())
-        .select("label", F.explode(F.split(F.trim("cleaned"), " +")).alias("word"))
-        .where(keep_word(F.col("word"), stopwords))
+    """One narrow row per non-empty text: score, delay, length, kept words, words per
+    theme, whether it names a delay, and its first characters."""
+    message = F.col(MESSAGE)
+    kept = F.col("kept")
+    per_theme = {
+        _theme_column(i): F.size(F.filter(kept, _one_of(words)))
+        for i, words in enumerate(themes.values())
+    }
+    measured = (
+        written(reviews)
+        .select(key, "order_id", "review_score", MESSAGE,
+                clean_text(message, strip_accents).alias("cleaned"))
+        .withColumn("all_words", F.split(F.trim("cleaned"), " +"))
+        .withColumn("kept", F.filter("all_words", lambda w: keep_word(w, stopwords)))
+        .select(
+            key,
+            "order_id",
+            "review_score",
+            F.length(message).alias("n_chars"),
+            F.substring(message, 1, prefix).alias("shown"),
+            F.arrays_overlap(
+                F.col("all_words"), F.array(*[F.lit(w) for w in delay_words])
+            ).alias("names_delay"),
+            F.size(kept).alias("n_words"),
+            *[column.alias(name) for name, column in per_theme.items()],
+        )
     )
+    return with_order_delay(measured, orders)
+
+
+def _counted(condition: Column, name: str) -> Column:
+    return F.coalesce(F.sum(flag(condition)), F.lit(0)).alias(name)
+
+
+def group_counts(measures: DataFrame) -> DataFrame:
+    """Texts per sentiment, and bad ones of late and of on-time orders.
+
+    Bad reviews of orders with unknown delay count in neither of the last two.
+    """
+    delay, bad = F.col("delay_days"), F.expr(BAD)
+    return measures.agg(
+        F.count(F.lit(1)).alias("n"),
+        _counted(bad, "n_bad"),
+        _counted(F.expr(GOOD), "n_good"),
+        _counted(F.col("review_score") == 3, "n_neutral"),
+        _counted(bad & (delay > 0), "n_bad_late"),
+        _counted(bad & (delay <= 0), "n_bad_on_time"),
+    ).withColumn("bad_pct", share(F.col("n_bad"), F.col("n")))
 
 
 def top_words(
-    texts: DataFrame,
+    reviews: DataFrame,
+    orders: DataFrame | None = None,
     k: int = 20,
     stopwords: Sequence[str] = fv.STOPWORDS,
     themes: Mapping[str, str] = fv.WORD_THEMES,
@@ -75,12 +121,24 @@ def top_words(
 ) -> DataFrame:
     """The k most frequent words of bad and of good reviews, each with its theme or itself.
 
-    Words are counted with map-side combining. The rank filter is pushed below the shuffle
-    of the window, so each task passes on at most k words per label.
+    With ``orders``, only reviews of delivered ones count. Words are counted with map-side
+    combining. The rank filter is pushed below the shuffle of the window, so each task
+    passes on at most k words per label.
     """
-    label = F.when(_bad(), labels[0]).when(_good(), labels[1])
+    label = F.when(F.expr(BAD), labels[0]).when(F.expr(GOOD), labels[1])
+    words = (
+        written(reviews)
+        .select(
+            "order_id",
+            label.alias("label"),
+            tokenize(F.col(MESSAGE), stopwords, strip_accents).alias("words"),
+        )
+        .where(F.col("label").isNotNull())
+    )
+    if orders is not None:
+        words = with_order_delay(words, orders)
     counts = (
-        word_rows(texts, label, stopwords, strip_accents)
+        words.select("label", F.explode("words").alias("word"))
         .groupBy("label", "word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -97,40 +155,33 @@ def top_words(
 
 
 def theme_share(
-    texts: DataFrame,
+    measures: DataFrame,
     themes: Mapping[str, Sequence[str]] = fv.THEME_WORDS,
-    stopwords: Sequence[str] = fv.STOPWORDS,
     labels: Sequence[str] = fv.SOURCE_GROUP_LABELS,
-    strip_accents: bool = False,
 ) -> DataFrame:
     """Words per theme, and their share of all words, in late and in on-time bad reviews.
 
-    One pass over the words; each task passes on one row per label. Every theme is listed.
+    Each task passes on one row per label. Every theme is listed.
     """
     delay = F.col("delay_days")
-    label = F.when(_bad() & (delay > 0), labels[0]).when(_bad() & (delay <= 0), labels[1])
-    names = list(themes)
+    label = F.when(delay > 0, labels[0]).when(delay <= 0, labels[1])
     counts = (
-        word_rows(texts, label, stopwords, strip_accents)
-        .groupBy("label")
+        measures.where(F.expr(BAD) & delay.isNotNull())
+        .groupBy(label.alias("label"))
         .agg(
-            F.count(F.lit(1)).alias("total"),
-            *[
-                F.sum(flag(F.col("word").isin(*themes[t]))).alias(f"theme_{i}")
-                for i, t in enumerate(names)
-            ],
+            F.sum("n_words").alias("total"),
+            *[F.sum(_theme_column(i)).alias(_theme_column(i)) for i in range(len(themes))],
         )
     )
     pairs = [
         F.struct(
-            F.lit(t).alias("theme"),
-            F.coalesce(F.col(f"theme_{i}"), F.lit(0)).alias("n"),
+            F.lit(name).alias("theme"), F.coalesce(F.col(_theme_column(i)), F.lit(0)).alias("n")
         )
-        for i, t in enumerate(names)
+        for i, name in enumerate(themes)
     ]
     # Two labels at most on either side.
     return (
-        literal_rows(texts.sparkSession, "label", labels)
+        literal_rows(measures.sparkSession, "label", labels)
         .join(F.broadcast(counts), "label", "left")
         .select("label", F.coalesce("total", F.lit(0)).alias("total"), F.inline(F.array(*pairs)))
         .select(
@@ -144,28 +195,21 @@ def theme_share(
 
 
 def sample_bad(
-    texts: DataFrame,
+    measures: DataFrame,
     late: bool,
     k: int = 5,
     longer_than: int = 50,
-    prefix: int = 200,
     seed: int = 42,
     key: str = "review_id",
 ) -> DataFrame:
-    """k bad reviews drawn in hash order, the same ones in every run.
-
-    A sampling report: the full text takes part in the draw, only the display is cut.
-    """
+    """k bad reviews drawn in hash order, the same ones in every run: a sampling report."""
     delay = F.col("delay_days")
     chosen = (delay > 0) if late else (delay <= 0)
     order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
     return (
-        texts.where(_bad() & chosen & (F.length(MESSAGE) > longer_than))
+        measures.where(F.expr(BAD) & chosen & (F.col("n_chars") > longer_than))
         .select(
-            key,
-            "review_score",
-            delay_phrase(delay).alias("delay_text"),
-            F.substring(MESSAGE, 1, prefix).alias("shown"),
+            key, "review_score", delay_phrase(delay).alias("delay_text"), "shown",
             order.alias("draw"),
         )
         .orderBy("draw", key)
@@ -174,23 +218,16 @@ def sample_bad(
     )
 
 
-def bad_sources(
-    texts: DataFrame, delay_words: Sequence[str] = fv.DELAY_WORDS, strip_accents: bool = False
-) -> DataFrame:
+def bad_sources(measures: DataFrame) -> DataFrame:
     """Bad reviews: how many came late, on time, and name a delay in so many words."""
-    delay = F.col("delay_days")
-    named = F.arrays_overlap(
-        F.split(F.trim(clean_text(F.col(MESSAGE), strip_accents)), " +"),
-        F.array(*[F.lit(w) for w in delay_words]),
-    )
-    n = F.col("n_bad")
+    delay, n = F.col("delay_days"), F.col("n_bad")
     return (
-        texts.where(_bad())
+        measures.where(F.expr(BAD))
         .agg(
             F.count(F.lit(1)).alias("n_bad"),
-            F.coalesce(F.sum(flag(delay > 0)), F.lit(0)).alias("n_late"),
-            F.coalesce(F.sum(flag(delay <= 0)), F.lit(0)).alias("n_on_time"),
-            F.coalesce(F.sum(flag(named)), F.lit(0)).alias("n_named"),
+            _counted(delay > 0, "n_late"),
+            _counted(delay <= 0, "n_on_time"),
+            _counted(F.col("names_delay"), "n_named"),
         )
         .withColumns(
             {

@@ -92,8 +92,12 @@ def _rollup_facts(t: Tables) -> DataFrame:
     return rollups.rollup_facts(*_six(t))
 
 
-def _texts(t: Tables) -> DataFrame:
-    return texts.review_texts(t["text_reviews"], t["orders"])
+def _texts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return t["text_reviews"], t["orders"]
+
+
+def _measures(t: Tables, **words) -> DataFrame:
+    return texts.measure_reviews(*_texts(t), **words)
 
 
 def _gmv(t: Tables) -> DataFrame:
@@ -308,7 +312,9 @@ def join_orders_reviews(t: Tables) -> DataFrame:
 
 @query
 def join_items_products(t: Tables) -> DataFrame:
-    joined = orders.join_items_products(t["order_items"], t["products"])
+    joined = orders.join_items_products(
+        t["order_items"], t["products"], "product_category_name"
+    )
     return joined.groupBy("product_category_name").agg(
         F.count(F.lit(1)).alias("n"), F.sum("price").alias("price")
     )
@@ -633,14 +639,14 @@ def t6_threshold_scan(t: Tables) -> DataFrame:
 
 @query
 def n0_review_texts(t: Tables) -> DataFrame:
-    return _texts(t).select(
+    return texts.review_texts(*_texts(t)).select(
         "review_id", "review_score", "delay_days", F.length(texts.MESSAGE).alias("n_chars")
     )
 
 
 @query
 def n0_group_counts(t: Tables) -> DataFrame:
-    return texts.group_counts(_texts(t))
+    return texts.group_counts(_measures(t))
 
 
 @query
@@ -662,51 +668,51 @@ def tokenize(t: Tables) -> DataFrame:
 
 @query
 def n1_top_words(t: Tables) -> DataFrame:
-    return texts.top_words(_texts(t))
+    return texts.top_words(*_texts(t))
 
 
 @query
 def n1_top_words_sample_themes(t: Tables) -> DataFrame:
-    return texts.top_words(_texts(t), themes=SAMPLE_WORD_THEMES)
+    return texts.top_words(*_texts(t), themes=SAMPLE_WORD_THEMES)
 
 
 @query
 def n2_theme_share(t: Tables) -> DataFrame:
-    return texts.theme_share(_texts(t))
+    return texts.theme_share(_measures(t))
 
 
 @query
 def n2_theme_share_sample_themes(t: Tables) -> DataFrame:
-    return texts.theme_share(_texts(t), themes=SAMPLE_THEMES)
+    return texts.theme_share(_measures(t, themes=SAMPLE_THEMES), SAMPLE_THEMES)
 
 
 @query
 def n3_sample_late(t: Tables) -> DataFrame:
-    return texts.sample_bad(_texts(t), late=True)
+    return texts.sample_bad(_measures(t), late=True)
 
 
 @query
 def n4_sample_on_time(t: Tables) -> DataFrame:
-    return texts.sample_bad(_texts(t), late=False)
+    return texts.sample_bad(_measures(t), late=False)
 
 
 @query
 def n5_bad_sources(t: Tables) -> DataFrame:
-    return texts.bad_sources(_texts(t))
+    return texts.bad_sources(_measures(t))
 
 
 @query
 def n5_bad_sources_sample_words(t: Tables) -> DataFrame:
-    return texts.bad_sources(_texts(t), SAMPLE_WORDS)
+    return texts.bad_sources(_measures(t, delay_words=SAMPLE_WORDS))
 
 
 def _documents(t: Tables) -> DataFrame:
-    return topics.ngrams(topics.corpus(_texts(t)))
+    return topics.ngrams(topics.corpus(*_texts(t)))
 
 
 @query
 def l0_corpus(t: Tables) -> DataFrame:
-    return topics.corpus(_texts(t))
+    return topics.corpus(*_texts(t))
 
 
 @query
