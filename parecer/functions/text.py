@@ -14,18 +14,21 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùú"
 PLAIN = "aaaaaaceeeeiiiinooooouu"
 
 
+def _lowered(text: Column, strip_accents: bool) -> Column:
+    """Lower case without URLs; null gives ''."""
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), fv.URL_PATTERN, " ")
+    return F.translate(out, ACCENTED, PLAIN) if strip_accents else out
+
+
 def clean_text(text: Column, strip_accents: bool = False) -> Column:
     """Lower case, URLs out, runs of anything but letters to one blank; null gives ''."""
-    out = F.regexp_replace(F.lower(text), fv.URL_PATTERN, " ")
-    out = F.regexp_replace(out, fv.NON_LETTER_PATTERN, " ")
-    if strip_accents:
-        out = F.translate(out, ACCENTED, PLAIN)
-    return F.coalesce(out, F.lit(""))
+    return F.regexp_replace(_lowered(text, strip_accents), fv.NON_LETTER_PATTERN, " ")
 
 
-def words(cleaned: Column) -> Column:
-    """Words of a cleaned text in order; an empty array for an empty text."""
-    return F.filter(F.split(F.trim(cleaned), " +"), lambda w: F.length(w) > 0)
+def words(text: Column, strip_accents: bool = False) -> Column:
+    """Words of a raw text in order, as cleaning and splitting would give them; one pass
+    over the text, which may leave an empty word at either end."""
+    return F.split(_lowered(text, strip_accents), fv.NON_LETTER_PATTERN)
 
 
 def keep_word(word: Column, stopwords: Sequence[str]) -> Column:
@@ -35,10 +38,7 @@ def keep_word(word: Column, stopwords: Sequence[str]) -> Column:
 
 def tokenize(text: Column, stopwords: Sequence[str], strip_accents: bool = False) -> Column:
     """Kept words of a raw text, repeats included."""
-    return F.filter(
-        F.split(F.trim(clean_text(text, strip_accents)), " +"),
-        lambda w: keep_word(w, stopwords),
-    )
+    return F.filter(words(text, strip_accents), lambda w: keep_word(w, stopwords))
 
 
 def vector_words(cleaned: Column) -> Column:

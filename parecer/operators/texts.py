@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from parecer.functions import fixed_values as fv
 from parecer.functions.measures import delay_phrase, flag, share
-from parecer.functions.text import clean_text, keep_word, tokenize
+from parecer.functions.text import keep_word, tokenize, words
 from parecer.operators.orders import filter_delivered, with_truncated_delay
 from parecer.operators.ranking import literal_rows
 
@@ -46,8 +46,8 @@ def _theme_column(i: int) -> str:
     return f"theme_{i}"
 
 
-def _one_of(words: Sequence[str]) -> Callable[[Column], Column]:
-    return lambda word: word.isin(*words)
+def _one_of(members: Sequence[str]) -> Callable[[Column], Column]:
+    return lambda word: word.isin(*members)
 
 
 def measure_reviews(
@@ -65,14 +65,15 @@ def measure_reviews(
     message = F.col(MESSAGE)
     kept = F.col("kept")
     per_theme = {
-        _theme_column(i): F.size(F.filter(kept, _one_of(words)))
-        for i, words in enumerate(themes.values())
+        _theme_column(i): F.size(F.filter(kept, _one_of(members)))
+        for i, members in enumerate(themes.values())
     }
     measured = (
         written(reviews)
-        .select(key, "order_id", "review_score", MESSAGE,
-                clean_text(message, strip_accents).alias("cleaned"))
-        .withColumn("all_words", F.split(F.trim("cleaned"), " +"))
+        .select(
+            key, "order_id", "review_score", MESSAGE,
+            words(message, strip_accents).alias("all_words"),
+        )
         .withColumn("kept", F.filter("all_words", lambda w: keep_word(w, stopwords)))
         .select(
             key,
@@ -126,7 +127,7 @@ def top_words(
     passes on at most k words per label.
     """
     label = F.when(F.expr(BAD), labels[0]).when(F.expr(GOOD), labels[1])
-    words = (
+    tokens = (
         written(reviews)
         .select(
             "order_id",
@@ -136,9 +137,12 @@ def top_words(
         .where(F.col("label").isNotNull())
     )
     if orders is not None:
-        words = with_order_delay(words, orders)
+        tokens = with_order_delay(tokens, orders)
+    # The outer form keeps the optimizer from testing for empty lists first, which would
+    # split every text twice.
     counts = (
-        words.select("label", F.explode("words").alias("word"))
+        tokens.select("label", F.explode_outer("words").alias("word"))
+        .where(F.col("word").isNotNull())
         .groupBy("label", "word")
         .agg(F.count(F.lit(1)).alias("n"))
     )

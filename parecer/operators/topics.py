@@ -34,7 +34,9 @@ def corpus(
     kept = (
         written(reviews)
         .where(F.expr(BAD))
-        .select(key, "order_id", cleaned.alias("cleaned"))
+        # As a generator's output the text is cleaned once; the filter below would otherwise
+        # be moved under the projection and clean it a second time.
+        .select(key, "order_id", F.explode(F.array(cleaned)).alias("cleaned"))
         .where(F.length("cleaned") > longer_than)
     )
     return with_order_delay(kept, orders).select(
@@ -65,7 +67,8 @@ def vocabulary(
         lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")),
     )
     counts = (
-        docs.select(F.inline(F.concat(seen, once)))
+        docs.select(F.inline_outer(F.concat(seen, once)))
+        .where(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     )

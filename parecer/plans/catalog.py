@@ -724,7 +724,7 @@ def l0_ngrams(t: Tables) -> DataFrame:
 
 @query
 def l0_vocabulary(t: Tables) -> DataFrame:
-    return topics.vocabulary(_documents(t))
+    return topics.vocabulary(materialize(_documents(t)))
 
 
 def _model(t: Tables) -> tuple[topics.TopicModel, DataFrame]:

@@ -87,6 +87,13 @@ def _category_trans(raw: DataFrame) -> DataFrame:
     )
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over at least as many tasks as there are cores. A scan of many files already is;
+    a single small file would have all its texts cleaned by one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def _text_reviews(documents: DataFrame, labels: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
     score = (
@@ -94,7 +101,8 @@ def _text_reviews(documents: DataFrame, labels: DataFrame) -> DataFrame:
         .when(F.col("quality") == 1, 4 + doc % 2)
         .otherwise(F.lit(3))
     )
-    return documents.join(labels, "doc_id", "left").select(
+    texts = _spread(documents.select("doc_id", "text"), "doc_id")
+    return texts.join(labels, "doc_id", "left").select(
         doc.alias("review_id"),
         doc.alias("order_id"),
         score.cast("int").alias("review_score"),
