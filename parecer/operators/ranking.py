@@ -53,44 +53,46 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
 def histogram(counts: DataFrame, value: str, bins: int) -> DataFrame:
     """Equal-width bins from the smallest to the largest value, the last one closed.
 
-    ``counts`` holds whole-number values and how often each occurs, so this works on one
-    row per distinct value. Empty bins are listed with 0. One value only gives a range of 1.
+    ``counts`` holds whole-number values and how often each occurs (``n``), so this works on
+    one row per distinct value, in one pass. Empty bins are listed with 0. A single value
+    gives a range of width 1 around it.
     """
-    known = counts.where(F.col(value).isNotNull())
-    low, high = F.min(value).cast("double"), F.max(value).cast("double")
-    flat = low == high
-    grid = known.agg(
-        F.when(flat, low - 0.5).otherwise(low).alias("low"),
-        F.when(flat, high + 0.5).otherwise(high).alias("high"),
-    ).where(F.col("low").isNotNull())
-    edges = grid.select(
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
-        ((F.col("high") - F.col("low")) / bins).alias("width"),
-        F.col("low"),
-    ).select(
-        "bin",
-        (F.col("low") + F.col("bin") * F.col("width")).alias("lo"),
-        (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("hi"),
-    )
     everything = Window.partitionBy()
-    least = F.min(value).over(everything)
-    span = F.max(value).over(everything) - least
-    offset = F.col(value) - least
-    placed = known.select(
-        F.when(span == 0, F.lit(bins // 2))
-        .otherwise(
-            F.least(
-                F.floor(offset * F.lit(bins) / F.when(span != 0, span)), F.lit(bins - 1)
-            )
-        )
-        .cast("int")
-        .alias("bin"),
+    x, low, high = F.col(value), F.col("low"), F.col("high")
+    span = high - low
+    bounded = counts.where(x.isNotNull()).select(
+        x.alias(value),
         "n",
+        F.min(x).over(everything).alias("low"),
+        F.max(x).over(everything).alias("high"),
     )
-    return (
-        edges.join(F.broadcast(placed.groupBy("bin").agg(F.sum("n").alias("n"))), "bin", "left")
-        .withColumn("n", F.coalesce("n", F.lit(0)))
-        .select("bin", "lo", "hi", "n")
+    place = F.when(span == 0, F.lit(bins // 2)).otherwise(
+        F.least(F.floor((x - low) * bins / F.when(span != 0, span)), F.lit(bins - 1))
+    )
+    # As many entries as bins.
+    filled = (
+        bounded.groupBy(place.cast("int").alias("bin"))
+        .agg(F.sum("n").alias("n"), F.max(low).alias("low"), F.max(high).alias("high"))
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("by_bin"),
+            F.max(low).cast("double").alias("low"),
+            F.max(high).cast("double").alias("high"),
+        )
+        .where(low.isNotNull())
+    )
+    start = F.when(span == 0, low - 0.5).otherwise(low)
+    width = F.when(span == 0, 1.0).otherwise(span) / bins
+    bin_no = F.col("bin")
+    return filled.select(
+        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
+        start.alias("start"),
+        width.alias("width"),
+        "by_bin",
+    ).select(
+        "bin",
+        (F.col("start") + bin_no * F.col("width")).alias("lo"),
+        (F.col("start") + (bin_no + 1) * F.col("width")).alias("hi"),
+        F.coalesce(F.try_element_at("by_bin", bin_no), F.lit(0)).alias("n"),
     )
 
 

@@ -29,11 +29,16 @@ def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
     }
 
 
-def local_session(cores: int | str = 8, app: str = "parecer", memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: int | str = 8,
+    app: str = "parecer",
+    memory: str = "8g",
+    settings: dict[str, str] | None = None,
+) -> SparkSession:
     """A session on this machine, for tests and the bench."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     width = int(cores) if str(cores).isdigit() else (os.cpu_count() or 8)
-    for key, value in settings_for(0, width).items():
+    for key, value in {**settings_for(0, width), **(settings or {})}.items():
         builder = builder.config(key, value)
     return (
         builder.config("spark.driver.memory", memory)

@@ -32,9 +32,9 @@ SCHEMAS = {
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(8, "tests")
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(8, "tests", settings={"spark.checkpoint.dir": shared})
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
