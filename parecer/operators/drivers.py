@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parecer.functions import fixed_values as fv
 from parecer.functions.ladders import Ladder
-from parecer.functions.measures import flag, rate_of, rounded, share
+from parecer.functions.measures import flag, money_mean, rate_of, rounded, share
 from parecer.operators.facts import order_core
 from parecer.operators.orders import (
     filter_delivered,
@@ -59,9 +59,7 @@ def freight_ratio(
         priced.groupBy(ladder.label(ratio).alias("freight_ratio_bucket"))
         .agg(
             *_score_columns(),
-            rounded(share(F.sum("total_price"), F.count("total_price"), 1.0), 0).alias(
-                "avg_order_value"
-            ),
+            rounded(money_mean(F.col("total_price")), 0).alias("avg_order_value"),
             F.min(ratio).alias("first_ratio"),
         )
         .orderBy("first_ratio")

@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 
 from parecer.functions import fixed_values as fv
 from parecer.functions.ladders import cut, level
-from parecer.functions.measures import clip, flag, mean_of, rate_of, rounded_even, share
+from parecer.functions.measures import (
+    clip,
+    flag,
+    money_mean,
+    money_sum,
+    rate_of,
+    rounded_even,
+    share,
+)
 from parecer.operators.orders import (
     filter_delivered,
     left_join_products,
@@ -167,9 +175,9 @@ def category_gmv(items: DataFrame, products: DataFrame, category_trans: DataFram
         .groupBy("category_en")
         .agg(
             F.count("order_id").alias("n_items"),
-            F.sum("price").alias("gmv"),
-            mean_of(F.col("price")).alias("mean_price"),
-            F.sum("freight_value").alias("freight"),
+            money_sum(F.col("price")).alias("gmv"),
+            money_mean(F.col("price")).alias("mean_price"),
+            money_sum(F.col("freight_value")).alias("freight"),
         )
         .withColumn("freight_pct", rounded_even(share(F.col("freight"), F.col("gmv")), 1))
         .withColumn("mean_freight", rounded_even(share(F.col("freight"), F.col("n_items"), 1.0), 1))
@@ -207,14 +215,14 @@ def seller_stats(items: DataFrame) -> DataFrame:
     """Lines, value and mean price per seller."""
     return items.groupBy("seller_id").agg(
         F.count("order_id").alias("n_items"),
-        F.sum("price").alias("gmv"),
-        mean_of(F.col("price")).alias("mean_price"),
+        money_sum(F.col("price")).alias("gmv"),
+        money_mean(F.col("price")).alias("mean_price"),
     )
 
 
 def seller_lorenz(items: DataFrame) -> DataFrame:
     """Sellers from largest to smallest with rank and cumulative share of value."""
-    gmv = items.groupBy("seller_id").agg(F.sum("price").alias("gmv"))
+    gmv = items.groupBy("seller_id").agg(money_sum(F.col("price")).alias("gmv"))
     return running_share(gmv, "gmv", "seller_id")
 
 

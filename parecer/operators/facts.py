@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parecer.functions.measures import flag, rounded, share
+from parecer.functions.measures import cents, flag, from_cents, money_sum, rounded, share
 from parecer.operators.orders import (
     filter_delivered,
     join_items_products,
@@ -45,7 +45,8 @@ def _scored(orders: DataFrame, reviews: DataFrame) -> DataFrame:
 def order_core(orders: DataFrame, items: DataFrame, reviews: DataFrame) -> DataFrame:
     """Delay, score and freight ratio of each order that has items and reviews."""
     sums = items.groupBy("order_id").agg(
-        F.sum("freight_value").alias("freight"), F.sum("price").alias("price")
+        money_sum(F.col("freight_value")).alias("freight"),
+        money_sum(F.col("price")).alias("price"),
     )
     return _scored(orders, reviews).join(sums, "order_id", "inner").withColumn(
         "freight_ratio", share(F.col("freight"), F.col("price"))
@@ -70,12 +71,13 @@ def order_facts(
     # Distinct products per order are counted by grouping on (order, product) first, so
     # an order with very many lines is spread over tasks by its products.
     lines = items.groupBy("order_id", "product_id").agg(
-        F.sum("price").alias("price"), F.sum("freight_value").alias("freight")
+        F.sum(cents(F.col("price"))).alias("price"),
+        F.sum(cents(F.col("freight_value"))).alias("freight"),
     )
     named = join_items_products(lines, named_products(products, category_trans), "category")
     sums = named.groupBy("order_id").agg(
-        F.sum("price").alias("price"),
-        F.sum("freight").alias("freight"),
+        from_cents(F.sum("price")).alias("price"),
+        from_cents(F.sum("freight")).alias("freight"),
         F.count(F.lit(1)).alias("item_count"),
         _first_category().alias("main_category"),
     )
@@ -110,8 +112,8 @@ def order_facts_category(
         join_items_products(items, named_products(products, category_trans), "category")
         .groupBy("order_id")
         .agg(
-            F.sum("price").alias("price"),
-            F.sum("freight_value").alias("freight"),
+            money_sum(F.col("price")).alias("price"),
+            money_sum(F.col("freight_value")).alias("freight"),
             F.count(F.lit(1)).alias("lines"),
             _first_category().alias("category"),
         )

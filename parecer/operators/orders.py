@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parecer.functions import fixed_values as fv
-from parecer.functions.measures import days_floored, days_truncated, flag, share
+from parecer.functions.measures import days_floored, days_truncated, flag, money_sum, share
 
 PURCHASED = "order_purchase_timestamp"
 ARRIVED = "order_delivered_customer_date"
@@ -71,7 +71,8 @@ def order_freight_agg(items: DataFrame) -> DataFrame:
     return (
         items.groupBy("order_id")
         .agg(
-            F.sum("freight_value").alias("total_freight"), F.sum("price").alias("total_price")
+            money_sum(F.col("freight_value")).alias("total_freight"),
+            money_sum(F.col("price")).alias("total_price"),
         )
         .withColumn("freight_ratio", share(F.col("total_freight"), F.col("total_price")))
     )

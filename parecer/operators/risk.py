@@ -9,7 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parecer.functions.measures import flag, mean_of, rate_among, rate_of, rounded_even, share
+from parecer.functions.measures import (
+    flag,
+    money_mean,
+    money_sum,
+    rate_among,
+    rate_of,
+    rounded_even,
+    share,
+)
 from parecer.operators.ranking import sort_topk
 
 LATE, BAD = "is_delayed", "is_bad"
@@ -28,8 +36,8 @@ def category_stats(facts: DataFrame, category: str = "category") -> DataFrame:
         rate_of(bad).alias("bad_rate"),
         rate_among(bad, late).alias("bad_delayed"),
         rate_among(bad, ~late).alias("bad_ontime"),
-        F.sum("gmv").alias("total_gmv"),
-        mean_of(F.col("gmv")).alias("avg_gmv"),
+        money_sum(F.col("gmv")).alias("total_gmv"),
+        money_mean(F.col("gmv")).alias("avg_gmv"),
     )
 
 
@@ -46,8 +54,8 @@ def pp_vs_overall(rate: Column, overall: Column, name: str) -> list[Column]:
     ]
 
 
-def category_rates(stats: DataFrame, min_orders: int = 100, k: int = 10) -> DataFrame:
-    """R1: the categories with the highest late rate, against the overall rates.
+def category_gaps(stats: DataFrame, min_orders: int = 100) -> DataFrame:
+    """Late and bad rate of each category against the overall rates.
 
     Rates are rounded half to even before they are compared. The overall rates come from
     the category counts, before small categories go.
@@ -64,8 +72,7 @@ def category_rates(stats: DataFrame, min_orders: int = 100, k: int = 10) -> Data
             }
         )
     )
-    top = sort_topk(rated, k, F.desc("delay_rate"), F.col("category"))
-    return top.select(
+    return rated.select(
         "category",
         "orders",
         "delay_rate",
@@ -76,6 +83,12 @@ def category_rates(stats: DataFrame, min_orders: int = 100, k: int = 10) -> Data
     )
 
 
+def category_rates(stats: DataFrame, min_orders: int = 100, k: int = 10) -> DataFrame:
+    """R1: the categories with the highest late rate, against the overall rates."""
+    gaps = category_gaps(stats, min_orders)
+    return sort_topk(gaps, k, F.desc("delay_rate"), F.col("category"))
+
+
 def delay_lift(
     stats: DataFrame,
     min_orders: int = 200,

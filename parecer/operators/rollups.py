@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from parecer.functions import fixed_values as fv
 from parecer.functions.ladders import Ladder
-from parecer.functions.measures import flag, mean_of, rate_among, rate_of, rounded, share
+from parecer.functions.measures import (
+    flag,
+    money_mean,
+    money_sum,
+    rate_among,
+    rate_of,
+    rounded,
+    share,
+)
 from parecer.operators.orders import (
     filter_delivered,
     left_join_products,
@@ -46,11 +54,11 @@ def rollup_facts(
         items, named_products(products, category_trans), "category"
     ).withColumn("category", F.coalesce("category", F.lit(fv.UNKNOWN_CATEGORY)))
     sums = named.groupBy("order_id").agg(
-        F.sum("price").alias("price"),
-        F.sum("freight_value").alias("freight"),
+        money_sum(F.col("price")).alias("price"),
+        money_sum(F.col("freight_value")).alias("freight"),
         F.min(F.struct("product_id", "category"))["category"].alias("category"),
     )
-    paid = payments.groupBy("order_id").agg(F.sum("payment_value").alias("paid"))
+    paid = payments.groupBy("order_id").agg(money_sum(F.col("payment_value")).alias("paid"))
     joined = (
         delivered.join(order_review_avg(reviews).select("order_id", "avg_score"), "order_id", "left")
         .join(sums, "order_id", "left")
@@ -135,7 +143,7 @@ def rollup_group_compare(facts: DataFrame, labels: Sequence[str] = fv.GROUP_LABE
         _count().alias("to"),
         _late_pct().alias("dr"),
         rounded(F.avg("delay_days"), 1).alias("add"),
-        rounded(mean_of(F.col("price")), 2).alias("ap"),
+        rounded(money_mean(F.col("price")), 2).alias("ap"),
         rounded(F.avg("freight_ratio"), 1).alias("afr"),
         rounded(F.avg("installments"), 1).alias("ai"),
         rounded(F.avg("actual_delivery_days"), 1).alias("aad"),
@@ -156,7 +164,7 @@ def rollup_category_risk(facts: DataFrame, min_orders: int = 50) -> DataFrame:
             _late_pct().alias("dr"),
             _bad_pct().alias("brr"),
             rounded(F.avg("delay_days"), 1).alias("add"),
-            rounded(mean_of(F.col("price")), 2).alias("ap"),
+            rounded(money_mean(F.col("price")), 2).alias("ap"),
             rounded(F.avg("freight_ratio"), 1).alias("afr"),
             rate_among(bad, late).alias("d_rate"),
             rate_among(bad, ~late).alias("o_rate"),
@@ -181,7 +189,7 @@ def rollup_payment(facts: DataFrame) -> DataFrame:
         _bad_pct().alias("brr"),
         _late_pct().alias("dr"),
         rounded(F.avg("installments"), 1).alias("ai"),
-        rounded(mean_of(F.col("paid")), 2).alias("av"),
+        rounded(money_mean(F.col("paid")), 2).alias("av"),
     )
 
 

@@ -297,8 +297,7 @@ def text_prefix(t: Tables) -> DataFrame:
 
 @query
 def pp_vs_overall(t: Tables) -> DataFrame:
-    rates = risk.category_rates(_category_stats(t), min_orders=1, k=1000)
-    return rates.select("category", "delay_gap_pp", "delay_flag", "bad_gap_pp", "bad_flag")
+    return risk.category_gaps(_category_stats(t), min_orders=1).select("category", "delay_gap_pp", "delay_flag", "bad_gap_pp", "bad_flag")
 
 
 # --- joins, windows, sorts ---------------------------------------------------------------
