@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parecer.functions import fixed_values as fv
@@ -129,18 +129,17 @@ def delay_box(
         "level",
         "delay_days",
     )
-    boxes = counts.groupBy("level").agg(
-        F.percentile(delay, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"),
-        F.sum("n").alias("n_level"),
-    )
+    # The window runs over one row per level and day.
+    quartiles = F.percentile(
+        delay, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")
+    ).over(Window.partitionBy("level"))
     q1, median, q3 = (F.col("q")[i] for i in range(3))
     reach = (q3 - q1) * 1.5
-    # One row per level on the small side of the join.
     return (
-        counts.join(F.broadcast(boxes), "level")
+        counts.withColumn("q", quartiles)
         .groupBy("level")
         .agg(
-            F.max("n_level").alias("n"),
+            F.sum("n").alias("n"),
             F.max(q1).alias("q1"),
             F.max(median).alias("median"),
             F.max(q3).alias("q3"),

@@ -126,8 +126,14 @@ def left_join_products(items: DataFrame, products: DataFrame, *columns: str) ->
 
 
 def left_join_category(df: DataFrame, category_trans: DataFrame) -> DataFrame:
-    """Adds the English category name, null where there is no translation."""
-    names = category_trans.select("product_category_name", "product_category_name_english")
+    """Adds the English category name, null where there is no translation.
+
+    The grouping tells Spark that a name has one translation, so it drops the whole join
+    from queries that do not use the category.
+    """
+    names = category_trans.groupBy("product_category_name").agg(
+        F.min("product_category_name_english").alias("product_category_name_english")
+    )
     return df.join(names, "product_category_name", "left")
 
 

@@ -101,6 +101,7 @@ def test_unused_parts_of_the_wide_table_are_not_computed(no_small_tables):
     )
     text = plan_of(wide.groupBy("is_delayed").agg(F.avg("is_bad")))
     assert "payment" not in text
+    assert "category" not in text
     assert "SortAggregate" not in text
 
 
