@@ -254,7 +254,6 @@ def near_duplicates(
     )
     sets = written(
         texts.join(wanted, ["id_key", "text_key"])
-        .dropDuplicates(["id"])
         .select("id", "text")
         .mapInArrow(partial(_full_sets, size=shingle), "id long, shingles array<long>"),
         "shingle-sets",
