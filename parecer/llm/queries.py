@@ -4,21 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parecer.llm import minhash_dedup
+from parecer.llm import decontaminate, minhash_dedup, packing, suffix_dedup
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+    n_hit = decontaminate.hit_words()
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.packed(
+        table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER)
+    )
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset",
+    )
+
+
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix_dedup.without_repeats(table(spark, folder, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash_dedup.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
+    "op4_packing": op4_packing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 

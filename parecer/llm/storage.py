@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +39,12 @@ def identity() -> tuple[Column, Column]:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id_key"),
         F.xxhash64(F.col("text")).alias("text_key"),
     )
+
+
+def once_per_process(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in a worker process and kept for its later tasks; the
+    code of a task itself arrives anew each time."""
+    kept = sys.modules.setdefault("_parecer_process", types.ModuleType("_parecer_process"))
+    if not hasattr(kept, name):
+        setattr(kept, name, make())
+    return getattr(kept, name)
