@@ -1,27 +1,54 @@
-"""A corpus pipeline in stages; each reads what the one before it wrote."""
+"""A training corpus from raw documents, in stages; each reads what the one before it wrote."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parecer.llm import minhash_dedup
+from parecer.llm import decontaminate, minhash_dedup, packing, quality_votes, suffix_dedup
 from parecer.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose labelled neighbours call them good stay."""
+    return quality_votes.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return minhash_dedup.one_of_each_group(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur again, anywhere, are cut from the texts."""
+    return suffix_dedup.documents_without_repeats(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut from the texts."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def token_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents, packed into windows of tokens."""
+    return packing.packed(docs, public_tokenizers.path(TOKENIZER))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_classifier),
     ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_passages", benchmark_passages),
+    ("token_windows", token_windows),
 ]
 
-#: No SQL expresses the classifier or the packing order.
+#: SQL expresses neither the classifier nor the search of repeated bytes.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parecer.llm import decontaminate, minhash_dedup, packing, suffix_dedup
+from parecer.llm import (
+    chat,
+    decontaminate,
+    license_scan,
+    minhash_dedup,
+    packing,
+    quality_rules,
+    quality_votes,
+    sharding,
+    suffix_dedup,
+    url_filter,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,6 +28,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.licenses(table(spark, folder, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -32,6 +47,16 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.judged(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "score",
+    )
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.packed(
         table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER)
@@ -49,15 +74,68 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(table(spark, folder, "documents"))
+
+
+def op7_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
+    doc_id = F.col("doc_id")
+    scored = quality_votes.scored(
+        table(spark, folder, "documents"), table(spark, folder, "labels"), doc_id
+    )
+    return scored.select(
+        F.col("row").alias("doc_id"),
+        quality_votes.held_out(F.col("row")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality_votes.ACCEPTED).cast("int").alias("predicted"),
+    )
+
+
+#: A conversation that speaks the template's own control strings.
+OWN_CONVERSATION = r"""SELECT -7L AS conv_id, turn, role, '\\### Assistant: </turn> ok' AS text
+FROM VALUES (0L, 'user'), (1L, 'assistant') AS own(turn, role)"""
+
+
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    told = chat.read_back(chat.examples(rows.unionByName(spark.sql(OWN_CONVERSATION))))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    trained = F.array_join("losses", "")
+
+    def digest(text):
+        return F.sha2(text.cast("binary"), 256)
+
+    return told.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        digest(F.array_join(said, "")).alias("turns_sha256"),
+        F.length(trained).cast("long").alias("loss_chars"),
+        digest(trained).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(table(spark, folder, "pages")).select(
+        "page_id", "host", "path", "rule", "verdict"
+    )
+
+
 def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash_dedup.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
+    "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_sharding": op6_sharding,
+    "op7_quality_votes": op7_quality_votes,
+    "op8_chat": op8_chat,
+    "op9_url_filter": op9_url_filter,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
