@@ -337,8 +337,5 @@ def decontaminated(
     names[documents.columns.index("text")] = "text"
     now = documents.toDF(*names)
     for items in _passes(benchmark, pass_bytes):
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema)
-        now = now.mapInArrow(
-            partial(_strip, phrases=Phrases(items, window)), schema
-        )
+        now = now.mapInArrow(partial(_strip, phrases=Phrases(items, window)), now.schema)
     return now.toDF(*documents.columns)

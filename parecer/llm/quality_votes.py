@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from parecer.llm.quality_rules import COUNTS, text_statistics
 from parecer.llm.storage import small_batches
@@ -181,9 +182,9 @@ def scored(
     """
     voters = fit(documents, labels, sample_rows)
     texts = documents.select(row.alias("row"), "text")
-    kind = texts.schema["row"].dataType.simpleString()
+    schema = StructType([texts.schema["row"], StructField("score", DoubleType())])
     vote = partial(_vote, voters=voters, neighbours=neighbours, sharpness=sharpness)
-    return texts.mapInArrow(vote, f"row {kind}, score double")
+    return texts.mapInArrow(vote, schema)
 
 
 def accepted(documents: DataFrame, labels: DataFrame, least: float = ACCEPTED, **settings):

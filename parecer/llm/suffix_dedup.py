@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from parecer.llm.storage import identity, small_batches, written
 from parecer.llm.words import _VALUES, U, batches_of, blocks, mix, powers
@@ -357,12 +358,11 @@ def documents_without_repeats(documents: DataFrame, **settings) -> DataFrame:
     joined = documents.select(
         F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), id_key, text_key, "text"
     ).join(spans, ["id_key", "text_key"], "left")
-    kind = joined.schema["row"].dataType.simpleString()
-    cut = joined.select(
+    marked = joined.select(
         F.struct("row", F.col("text").isNull().alias("none")).alias("row"), "text", "spans"
-    ).mapInArrow(
-        partial(_cut, as_text=True), f"row struct<row:{kind},none:boolean>, kept string"
     )
+    schema = StructType([marked.schema["row"], StructField("kept", StringType())])
+    cut = marked.mapInArrow(partial(_cut, as_text=True), schema)
     text = F.when(~F.col("row.none"), F.col("kept")).alias("text")
     return cut.select(
         *[text if c == "text" else F.col(f"row.row.`{c}`").alias(c) for c in columns]
