@@ -11,22 +11,25 @@ import argparse
 from pyspark.sql import SparkSession
 
 from parecer.plans.steps import STEPS, run_steps
+from parecer.session import apply_settings
 from parecer.sources.tables import read_parquet_tables, read_tables, write_tables
 
 
 def main() -> None:
     args = argparse.ArgumentParser(prog="parecer", description=__doc__)
-    args.add_argument("--csv", help="folder with one CSV file or folder per table")
+    args.add_argument("--csv", help="folder with one CSV file or folder per table; a review file, which "
+                      "holds free text, is read by one task, so large ones should come in parts")
     args.add_argument("--tables", required=True, help="folder of the Parquet tables")
     args.add_argument("--out", help="folder for the results")
     args.add_argument("--steps", nargs="*", choices=list(STEPS), help="steps to run; all if unset")
     chosen = args.parse_args()
 
     spark = SparkSession.builder.appName("parecer").getOrCreate()
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     if chosen.csv:
+        apply_settings(spark, chosen.csv)
         write_tables(read_tables(spark, chosen.csv), chosen.tables)
     if chosen.out:
+        apply_settings(spark, chosen.tables)
         tables = read_parquet_tables(spark, chosen.tables)
         for name, path in run_steps(tables, chosen.out, chosen.steps).items():
             print(f"{name}\t{path}")

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from parecer.functions import fixed_values as fv
 from parecer.functions.ladders import cut, level
 from parecer.functions.measures import (
+    cents,
     clip,
     flag,
+    from_cents,
     money_mean,
     money_sum,
     rate_of,
@@ -167,16 +169,25 @@ def sentiment(
 
 
 def category_gmv(items: DataFrame, products: DataFrame, category_trans: DataFrame) -> DataFrame:
-    """Lines, value, mean price and freight per category; lines without category go."""
-    named = left_join_products(items, named_products(products, category_trans), "category_en")
+    """Lines, value, mean price and freight per category; lines without category go.
+
+    Items are summed per product before the join, so a much-sold product is one row in it.
+    """
+    per_product = items.groupBy("product_id").agg(
+        F.count("order_id").alias("n_items"),
+        F.sum(cents(F.col("price"))).alias("cents"),
+        F.count("price").alias("n_prices"),
+        F.sum(cents(F.col("freight_value"))).alias("freight_cents"),
+    )
+    named = left_join_products(per_product, named_products(products, category_trans), "category_en")
     return (
         named.where(F.col("category_en").isNotNull())
         .groupBy("category_en")
         .agg(
-            F.count("order_id").alias("n_items"),
-            money_sum(F.col("price")).alias("gmv"),
-            money_mean(F.col("price")).alias("mean_price"),
-            money_sum(F.col("freight_value")).alias("freight"),
+            F.sum("n_items").alias("n_items"),
+            from_cents(F.sum("cents")).alias("gmv"),
+            share(from_cents(F.sum("cents")), F.sum("n_prices"), 1.0).alias("mean_price"),
+            from_cents(F.sum("freight_cents")).alias("freight"),
         )
         .withColumn("freight_pct", rounded_even(share(F.col("freight"), F.col("gmv")), 1))
         .withColumn("mean_freight", rounded_even(share(F.col("freight"), F.col("n_items"), 1.0), 1))

@@ -80,12 +80,15 @@ def fit_logit(
     c: float = 1.0,
     max_iter: int = 1000,
     weight: str | None = None,
+    n: float | None = None,
 ) -> LogisticRegressionModel:
     """Logistic regression with penalty ½‖w‖² against c·Σ loss, intercept not penalised.
 
-    Spark averages the loss over the rows, so the penalty is divided by c·n.
+    Spark averages the loss over the rows, so the penalty is divided by c·n; ``n`` is counted
+    if it is not given.
     """
-    n = df.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
+    if n is None:
+        n = df.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
     model = LogisticRegression(
         featuresCol="features",
         labelCol=label,

@@ -86,8 +86,9 @@ def order_pay_agg(payments: DataFrame) -> DataFrame:
     )
 
 
-def row_number_top1(payments: DataFrame) -> DataFrame:
+def row_number_top1(payments: DataFrame, *sums: Column) -> DataFrame:
     """The largest payment of each order; ties go to the lower type, then fewer installments.
+    ``sums`` are further aggregates over the order's payments, under their own names.
 
     The smallest struct per order is the first row of the sorted order, found with map-side
     combining instead of a window over all payments of an order.
@@ -101,13 +102,14 @@ def row_number_top1(payments: DataFrame) -> DataFrame:
     ).alias("first")
     return (
         payments.groupBy("order_id")
-        .agg(first)
+        .agg(first, *sums)
         .select(
-            "order_id",
+            "*",
             F.col("first.payment_type").alias("payment_type"),
             F.col("first.payment_installments").alias("payment_installments"),
             (-F.col("first.neg_value")).alias("payment_value"),
         )
+        .drop("first")
     )
 
 
@@ -137,12 +139,13 @@ def left_join_category(df: DataFrame, category_trans: DataFrame) -> DataFrame:
     return df.join(names, "product_category_name", "left")
 
 
-def left_join_top_payment(df: DataFrame, payments: DataFrame) -> DataFrame:
-    """Adds type and installments of the largest payment, null where there is none."""
-    top = row_number_top1(payments).select(
-        "order_id",
-        F.col("payment_type").alias("pay_type"),
-        F.col("payment_installments").alias("installments"),
+def left_join_top_payment(df: DataFrame, payments: DataFrame, *sums: Column) -> DataFrame:
+    """Adds type and installments of the largest payment, null where there is none, and
+    ``sums`` over the order's payments out of the same shuffle."""
+    top = (
+        row_number_top1(payments, *sums)
+        .withColumnsRenamed({"payment_type": "pay_type", "payment_installments": "installments"})
+        .drop("payment_value")
     )
     return df.join(top, "order_id", "left")
 

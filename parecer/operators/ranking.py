@@ -12,10 +12,6 @@ from parecer.functions.measures import share
 from parecer.session import materialize
 
 
-# Ranges of a running share: their totals are one row each, broadcast to every task.
-MOST_RANGES = 4096
-
-
 def sort_topk(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows; the order should end in a key so that ties are settled."""
     return df.orderBy(*order).limit(k)
@@ -109,7 +105,7 @@ def running_share(df: DataFrame, amount: str, key: str) -> DataFrame:
     same amount still spread over the ranges. The split is written once, since both passes
     must see the same ranges.
     """
-    parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = [F.col(amount).desc(), F.col(key).asc()]
     split = materialize(
         df.select(key, amount)
@@ -133,7 +129,7 @@ def running_share(df: DataFrame, amount: str, key: str) -> DataFrame:
     inside = Window.partitionBy("part").orderBy(*ordered)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        split.join(F.broadcast(offsets), "part")
+        split.join(offsets, "part")
         .withColumn("rank", F.row_number().over(inside) + F.col("n_before"))
         .withColumn("cum", F.sum(amount).over(upto) + F.col("sum_before"))
         .select(

@@ -96,7 +96,8 @@ def delay_lift(
     min_delayed: int = 10,
     k: int = 15,
 ) -> DataFrame:
-    """R2: the categories whose bad rate grows most when late, with the overall pair."""
+    """R2: the categories whose bad rate grows most when late, with the overall pair. Without
+    an eligible category one row has the overall pair alone."""
     everything = Window.partitionBy()
 
     def total(column: str) -> Column:
@@ -104,32 +105,41 @@ def delay_lift(
 
     on_time = total("orders") - total("delayed_orders")
     base = F.col("bad_ontime")
-    eligible = (
+    eligible = F.coalesce(
+        (F.col("orders") >= min_orders)
+        & (F.col("delay_rate") > min_delay_rate)
+        & (F.col("delayed_orders") >= min_delayed),
+        F.lit(False),
+    )
+    shown = {
+        "category": F.col("category"),
+        "orders": F.col("orders"),
+        "delay_rate": F.col("delay_rate"),
+        "bad_ontime": base,
+        "bad_delayed": F.col("bad_delayed"),
+        "delta_pp": F.col("bad_delayed") - base,
+        "lift": F.col("bad_delayed") / F.when(base > 0, base),
+        "lift_is_infinite": F.coalesce(base <= 0, F.lit(True)),
+    }
+    # One row per category, so windows over all of them stay small.
+    rows = (
         stats.withColumns(
             {
-                "base_delayed": share(total("delayed_bad"), total("delayed_orders")),
                 "base_ontime": share(total("ontime_bad"), on_time),
+                "base_delayed": share(total("delayed_bad"), total("delayed_orders")),
+                "eligible": eligible,
+                "n_eligible": F.sum(flag(eligible)).over(everything),
+                "is_first": F.col("category") == F.min("category").over(everything),
             }
         )
-        .where(
-            (F.col("orders") >= min_orders)
-            & (F.col("delay_rate") > min_delay_rate)
-            & (F.col("delayed_orders") >= min_delayed)
-        )
+        .where(F.col("eligible") | ((F.col("n_eligible") == 0) & F.col("is_first")))
         .select(
-            "category",
-            "orders",
-            "delay_rate",
-            "bad_ontime",
-            "bad_delayed",
-            (F.col("bad_delayed") - base).alias("delta_pp"),
-            (F.col("bad_delayed") / F.when(base > 0, base)).alias("lift"),
-            F.coalesce(base <= 0, F.lit(True)).alias("lift_is_infinite"),
+            *[F.when(F.col("eligible"), column).alias(name) for name, column in shown.items()],
             "base_ontime",
             "base_delayed",
         )
     )
-    return sort_topk(eligible, k, F.desc_nulls_last("delta_pp"), F.col("category"))
+    return sort_topk(rows, k, F.desc_nulls_last("delta_pp"), F.col("category"))
 
 
 def _scored(stats: DataFrame, min_orders: int, min_delayed: int) -> DataFrame:

@@ -58,13 +58,12 @@ def rollup_facts(
         money_sum(F.col("freight_value")).alias("freight"),
         F.min(F.struct("product_id", "category"))["category"].alias("category"),
     )
-    paid = payments.groupBy("order_id").agg(money_sum(F.col("payment_value")).alias("paid"))
     joined = (
         delivered.join(order_review_avg(reviews).select("order_id", "avg_score"), "order_id", "left")
         .join(sums, "order_id", "left")
-        .join(paid, "order_id", "left")
     )
-    return left_join_top_payment(joined, payments).select(
+    paid = money_sum(F.col("payment_value")).alias("paid")
+    return left_join_top_payment(joined, payments, paid).select(
         "order_id",
         "purchase_month",
         "actual_delivery_days",

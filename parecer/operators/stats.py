@@ -32,22 +32,22 @@ def contingency(df: DataFrame, factors: Sequence[str], outcome: str = "is_bad")
 
 
 def chi_square_survival(chi2: float, dof: int) -> float:
-    """Probability of a χ² of at least this size, from the finite sums for whole dof."""
+    """Probability of a χ² of at least this size, from the finite sums for whole dof.
+
+    The terms are summed by their logarithms, as each alone may be too small for a double.
+    """
     half = chi2 / 2.0
-    if dof % 2 == 0:
-        term = total = math.exp(-half)
-        start = 1
-    else:
-        total = math.erfc(math.sqrt(half))
-        term = math.sqrt(half / math.pi) * 2.0 * math.exp(-half)
-        if dof > 1:
-            total += term
-        start = 1.5
-    steps = (dof - 1) // 2 if dof % 2 == 0 else (dof - 3) // 2
-    for i in range(max(steps, 0)):
-        term *= half / (start + i)
-        total += term
-    return total
+    odd = dof % 2
+    if half <= 0:
+        return 1.0
+    # Term i is half**(i + odd/2) e**-half / gamma(i + 1 + odd/2).
+    logs = [
+        (i + odd / 2) * math.log(half) - half - math.lgamma(i + 1 + odd / 2)
+        for i in range((dof - odd) // 2)
+    ]
+    top = max(logs, default=0.0)
+    total = math.exp(top) * math.fsum(math.exp(x - top) for x in logs) if logs else 0.0
+    return min(1.0, total + (math.erfc(math.sqrt(half)) if odd else 0.0))
 
 
 @F.pandas_udf(DoubleType())
@@ -167,6 +167,8 @@ def relative_risk(
         Window.partitionBy()
     )
     rr = F.col("rr")
+    # Some bad reviews against none; without a rate on either side there is no ratio to mark.
+    infinite = (F.col("base_pct") <= 0) & (F.col("rate_pct") > 0)
     return (
         listed.join(F.broadcast(counts), "delay_group", "left")
         .withColumn("n", F.coalesce("n", F.lit(0)))
@@ -178,9 +180,11 @@ def relative_risk(
             "rate_pct",
             (F.col("rate_pct") / F.when(F.col("base_pct") > 0, F.col("base_pct"))).alias("rr"),
             F.coalesce(F.col("base_pct") <= 0, F.lit(True)).alias("rr_is_infinite"),
+            "base_pct",
         )
         .withColumn(
-            "mark", F.when(rr > high_over, "high").when(rr <= low_upto, "low").otherwise("")
+            "mark",
+            F.when((rr > high_over) | infinite, "high").when(rr <= low_upto, "low").otherwise(""),
         )
     )
 

@@ -81,6 +81,7 @@ def measure_reviews(
             "review_score",
             F.length(message).alias("n_chars"),
             F.substring(message, 1, prefix).alias("shown"),
+            F.md5(message.cast("binary")).alias("text_md5"),
             F.arrays_overlap(
                 F.col("all_words"), F.array(*[F.lit(w) for w in delay_words])
             ).alias("names_delay"),
@@ -206,19 +207,21 @@ def sample_bad(
     seed: int = 42,
     key: str = "review_id",
 ) -> DataFrame:
-    """k bad reviews drawn in hash order, the same ones in every run: a sampling report."""
+    """k bad reviews drawn in hash order, the same ones in every run: a sampling report.
+    A review id may repeat, so the draw and its ties take order and text as well."""
     delay = F.col("delay_days")
     chosen = (delay > 0) if late else (delay <= 0)
-    order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, "order_id")]
+    order = F.md5(F.concat_ws("|", *parts, "text_md5", F.lit(str(seed))))
     return (
         measures.where(F.expr(BAD) & chosen & (F.col("n_chars") > longer_than))
         .select(
             key, "review_score", delay_phrase(delay).alias("delay_text"), "shown",
-            order.alias("draw"),
+            order.alias("draw"), "order_id", "text_md5",
         )
-        .orderBy("draw", key)
+        .orderBy("draw", key, "order_id", "text_md5", "review_score")
         .limit(k)
-        .drop("draw")
+        .drop("draw", "order_id", "text_md5")
     )
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
@@ -79,10 +78,11 @@ def vocabulary(
 
 @dataclass
 class TopicModel:
-    """A fitted model with its vocabulary; ``terms`` has at most the vocabulary's size."""
+    """A fitted model with its vocabulary, at most ``vocabulary_size`` terms. A model of a
+    corpus without terms is empty: it has no words and assigns no topic."""
 
-    vectorizer: CountVectorizerModel
-    lda: LDAModel
+    vectorizer: CountVectorizerModel | None
+    lda: LDAModel | None
     k: int
 
     def topics(self, spark, n_words: int = 12) -> DataFrame:
@@ -90,10 +90,10 @@ class TopicModel:
 
         The matrix is vocabulary × topics, bounded by the vocabulary size whatever the corpus.
         """
-        matrix = self.lda.topicsMatrix().toArray()
-        words = self.vectorizer.vocabulary
+        matrix = self.lda.topicsMatrix().toArray() if self.lda else None
+        words = self.vectorizer.vocabulary if self.vectorizer else []
         rows = []
-        for topic in range(self.k):
+        for topic in range(self.k if words else 0):
             weights = matrix[:, topic]
             best = sorted(range(len(words)), key=lambda i: (-weights[i], words[i]))[:n_words]
             rows += [
@@ -106,7 +106,9 @@ class TopicModel:
         )
 
     def assign(self, docs: DataFrame) -> DataFrame:
-        """Adds each document's heaviest topic, the first one on ties."""
+        """Adds each document's heaviest topic, the first one on ties; of an empty model null."""
+        if self.lda is None:
+            return docs.withColumn("topic", F.lit(None).cast("int"))
         weights = F.col("weights")
         vectors = self.vectorizer.transform(docs)
         return (
@@ -120,9 +122,8 @@ class TopicModel:
 def fit_topics(
     docs: DataFrame,
     k: int = 6,
-    epochs: int = 20,
-    batch_size: int = 512,
-    most_batches: int = 20,
+    fraction: float = 1 / 17,
+    iterations: int = 340,
     seed: int = 42,
     min_df: int = 10,
     max_df: float = 0.5,
@@ -130,22 +131,22 @@ def fit_topics(
 ) -> TopicModel:
     """Online variational LDA over the documents' ``terms``.
 
-    A batch holds ``batch_size`` documents, or more on a large corpus, so that an epoch has
-    at most ``most_batches`` batches and the passes over the corpus do not grow with it.
+    Each of the ``iterations`` learns from a drawn ``fraction`` of the documents, so the
+    schedule is the same for a corpus of any size. By default that is 20 passes over the
+    documents in 17 parts each. A larger fraction with fewer iterations costs fewer jobs; the
+    product of both is the number of passes. Without a term in the bounds the model is empty.
     Only the vocabulary and the topic matrix pass through the driver; both are bounded by
     ``vocabulary_size``.
     """
     words = [r["term"] for r in vocabulary(docs, min_df, max_df, vocabulary_size).collect()]
     if not words:
-        raise ValueError("no term passes the document-frequency bounds")
+        return TopicModel(None, None, k)
     vectorizer = CountVectorizerModel.from_vocabulary(
         words, inputCol="terms", outputCol="features"
     )
     vectors = vectorizer.transform(docs).select("features")
     vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = vectors.count()
-        batches = max(1, min(ceil(n / batch_size), most_batches))
         lda = LDA(
             k=k,
             optimizer="online",
@@ -155,8 +156,8 @@ def fit_topics(
             learningDecay=0.7,
             optimizeDocConcentration=False,
             seed=seed,
-            subsamplingRate=1.0 / batches,
-            maxIter=epochs * batches,
+            subsamplingRate=fraction,
+            maxIter=iterations,
         ).fit(vectors)
     finally:
         vectors.unpersist()
@@ -171,11 +172,32 @@ def topic_share(assigned: DataFrame, k: int = 6) -> DataFrame:
     return (
         listed.join(F.broadcast(counts), "topic", "left")
         .withColumn("n", F.coalesce("n", F.lit(0)))
-        .withColumn("pct", share(F.col("n"), F.sum("n").over(Window.partitionBy())))
+        .withColumn(
+            "pct",
+            F.coalesce(share(F.col("n"), F.sum("n").over(Window.partitionBy())), F.lit(0.0)),
+        )
         .orderBy("topic")
     )
 
 
+def labelled_share(
+    assigned: DataFrame,
+    topics: DataFrame,
+    k: int = 6,
+    lexicons: Mapping[str, Sequence[str]] = fv.TOPIC_LABEL_WORDS,
+) -> DataFrame:
+    """Share of each topic with the two labels that fit the model's own words best."""
+    labels = (
+        topic_labels(topics, lexicons=lexicons)
+        .groupBy("topic")
+        .agg(
+            *[F.max(F.when(F.col("place") == i, F.col("label"))).alias(f"label_{i}") for i in (1, 2)]
+        )
+    )
+    # One row per topic on either side.
+    return topic_share(assigned, k).join(F.broadcast(labels), "topic", "left").orderBy("topic")
+
+
 def topic_labels(
     topics: DataFrame,
     n_words: int = 8,

@@ -7,6 +7,7 @@ Each entry takes the marketplace tables and returns a DataFrame over all of thei
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,9 @@ SAMPLE_THEMES = {
 SAMPLE_WORD_THEMES = {word: name for name, words in SAMPLE_THEMES.items() for word in words}
 SAMPLE_WORDS = ("that", "und", "pour")
 
+# Digits to which a fit by another method agrees.
+MODEL_DIGITS = 3
+
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
@@ -139,11 +143,19 @@ def parse_timestamps(t: Tables) -> DataFrame:
 
 @query
 def table_sink(t: Tables) -> DataFrame:
+    """All nine tables written twice, the second time over the first, and read back; orders
+    go through the catalog as well, and are profiled from there."""
     spark = t["orders"].sparkSession
-    path = scratch_path(spark, "orders")
-    for _ in range(2):  # the second write replaces the first
-        io.write_table(t["orders"], path)
-    return spark.read.parquet(path)
+    folder = scratch_path(spark, "tables")
+    for _ in range(2):
+        io.write_tables({name: t[name] for name in io.TABLES}, folder)
+    back = {name: spark.read.parquet(f"{folder}/{name}") for name in io.TABLES}
+    name = f"sink_{folder.rsplit('-', 1)[-1]}"
+    for _ in range(2):
+        io.save_table(back["orders"], name)
+    profile = materialize(eda.profile_tables({**back, "orders": spark.table(name)}))
+    spark.sql(f"DROP TABLE {name}")
+    return profile
 
 
 @query
@@ -158,10 +170,30 @@ def time_span(t: Tables) -> DataFrame:
 
 @query
 def read_rollups(t: Tables) -> DataFrame:
+    """All roll-ups written as files, read back, and their numbers listed one per row."""
     spark = t["orders"].sparkSession
-    path = scratch_path(spark, "monthly_trend")
-    io.write_table(rollups.rollup_monthly(_rollup_facts(t)), path, "csv", header=True)
-    return io.read_rollup(spark, path, "monthly_trend")
+    wide = materialize(_rollup_facts(t))
+    folder = scratch_path(spark, "rollups")
+    made = {
+        "kpi_summary": rollups.rollup_kpi(wide),
+        "monthly_trend": rollups.rollup_monthly(wide),
+        "delay_dose": rollups.rollup_delay_dose(wide),
+        "group_compare": rollups.rollup_group_compare(wide),
+        "category_risk": rollups.rollup_category_risk(wide),
+        "payment": rollups.rollup_payment(wide),
+    }
+    parts = []
+    for name, df in made.items():
+        io.write_table(df, f"{folder}/{name}", "csv", header=True)
+        read = io.read_rollup(spark, f"{folder}/{name}", name)
+        key, *numbers = [c for c in read.columns if c != "format"]
+        parts.append(
+            read.select(F.col(key).alias("key"), *[F.col(f"`{c}`").cast("double") for c in numbers])
+            .unpivot("key", numbers, "metric", "value")
+            .where("value is not null")
+            .select(F.lit(name).alias("rollup"), "key", "metric", "value")
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- columns -----------------------------------------------------------------------------
@@ -321,9 +353,9 @@ def join_items_products(t: Tables) -> DataFrame:
 
 @query
 def left_join_products(t: Tables) -> DataFrame:
-    # Only products with a category, so that some items find no match.
-    named = t["products"].where(F.col("product_category_name").isNotNull())
-    joined = orders.left_join_products(t["order_items"], named, "product_category_name")
+    joined = orders.left_join_products(
+        t["order_items"], t["products"], "product_category_name"
+    )
     return joined.groupBy("product_category_name").agg(
         F.count(F.lit(1)).alias("n"), F.sum("freight_value").alias("freight")
     )
@@ -344,10 +376,10 @@ def left_join_top_payment(t: Tables) -> DataFrame:
 
 @query
 def map_lookup(t: Tables) -> DataFrame:
-    counted = _category_stats(t).select("category", "bad_orders")
-    many = counted.where(F.col("bad_orders") >= 40)
+    """The late rate of categories with enough orders, 0 for the others."""
+    rates = risk.category_rates(_category_stats(t), k=1000).select("category", "delay_rate")
     named = t["category_trans"].select(F.col("product_category_name_english").alias("category"))
-    return orders.map_lookup(named, many, "category", "bad_orders", "share_of_bad")
+    return orders.map_lookup(named, rates, "category", "delay_rate", "delay_rate_or_0")
 
 
 @query
@@ -566,6 +598,12 @@ def facts_summary(t: Tables) -> DataFrame:
     return facts.facts_summary(_facts(t))
 
 
+@query
+def facts_summary_category(t: Tables) -> DataFrame:
+    """The headline of the category step."""
+    return facts.facts_summary(_category_facts(t), "category")
+
+
 # --- statistics and models ---------------------------------------------------------------
 
 
@@ -590,7 +628,8 @@ def t1_chi2_wide(t: Tables) -> DataFrame:
 
 @query
 def t1_p_value(t: Tables) -> DataFrame:
-    return stats.with_p_value(stats.chi2_test(stats.contingency(_facts(t), DELAY_FACTORS)))
+    tests = stats.with_p_value(stats.chi2_test(stats.contingency(_facts(t), DELAY_FACTORS)))
+    return tests.withColumn("p_value", measures.rounded(F.col("p_value"), MODEL_DIGITS))
 
 
 @query
@@ -625,7 +664,7 @@ def t5_auc(t: Tables) -> DataFrame:
 
 @query
 def t5_model(t: Tables) -> DataFrame:
-    return models.single_feature_logit(_facts(t))
+    return stable(models.single_feature_logit(_facts(t)), MODEL_DIGITS)
 
 
 @query
@@ -739,7 +778,9 @@ def l1_lda_topics(t: Tables) -> DataFrame:
 @query
 def l2_topic_share(t: Tables) -> DataFrame:
     model, documents = _model(t)
-    return topics.topic_share(model.assign(documents))
+    return topics.labelled_share(
+        model.assign(documents), model.topics(documents.sparkSession)
+    )
 
 
 def _score_topics(t: Tables) -> DataFrame:

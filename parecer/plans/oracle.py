@@ -14,7 +14,7 @@ from parecer.functions import fixed_values as fv
 from parecer.functions.ladders import Ladder
 from parecer.operators.models import FEATURES
 from parecer.plans.catalog import SAMPLE_THEMES, SAMPLE_WORD_THEMES, SAMPLE_WORDS
-from parecer.sources.schemas import TABLES, TIMESTAMP_COLUMNS
+from parecer.sources.schemas import ROLLUPS, TABLES, TIMESTAMP_COLUMNS
 from parecer.sources.star_schema import ADAPTER_SQL
 
 
@@ -449,7 +449,8 @@ def _sample(where: str) -> str:
         SELECT review_id, {whole("review_score")} AS review_score, {_PHRASE} AS delay_text,
           substring(review_comment_message, 1, 200) AS shown FROM texts
         WHERE review_score <= 2 AND {where} AND length(review_comment_message) > 50
-        ORDER BY md5(CAST(review_id AS VARCHAR) || '|42'), review_id LIMIT 5"""
+        ORDER BY md5(concat_ws('|', review_id, order_id, md5(review_comment_message), '42')),
+          review_id, order_id LIMIT 5"""
 
 
 _PHRASE = (
@@ -510,17 +511,20 @@ def _rates(where: str, k: str) -> str:
 
 
 def _lift(least: int) -> str:
+    where = f"orders >= {least} AND delay_rate > 3 AND delayed_orders >= 10"
     return f"""
+        WITH base AS (
+          SELECT AVG(is_bad) FILTER (is_delayed = 0) * 100 AS bo,
+            AVG(is_bad) FILTER (is_delayed = 1) * 100 AS bd FROM category_facts),
+        listed AS (SELECT * FROM category_stats WHERE {where})
         SELECT category, orders, {num("delay_rate")} AS delay_rate,
           {num("bad_ontime")} AS bad_ontime, {num("bad_delayed")} AS bad_delayed,
           {num("bad_delayed - bad_ontime")} AS delta_pp,
           {num("bad_delayed / NULLIF(bad_ontime, 0)")} AS lift,
-          coalesce(bad_ontime <= 0, true) AS lift_is_infinite,
+          CASE WHEN category IS NOT NULL THEN coalesce(bad_ontime <= 0, true) END
+            AS lift_is_infinite,
           {num("bo")} AS base_ontime, {num("bd")} AS base_delayed
-        FROM category_stats CROSS JOIN (
-          SELECT AVG(is_bad) FILTER (is_delayed = 0) * 100 AS bo,
-            AVG(is_bad) FILTER (is_delayed = 1) * 100 AS bd FROM category_facts)
-        WHERE orders >= {least} AND delay_rate > 3 AND delayed_orders >= 10
+        FROM base LEFT JOIN listed ON true
         ORDER BY bad_delayed - bad_ontime DESC NULLS LAST, category LIMIT 15"""
 
 
@@ -579,12 +583,10 @@ RAW: dict[str, str] = {
     "read_tables": _profile({"reviews": "a_text_reviews"}),
     "parse_timestamps": f"SELECT order_id, {', '.join(map(_time, TIMESTAMP_COLUMNS))} "
     "FROM a_orders",
-    "table_sink": f"SELECT order_id, customer_id, order_status, "
-    f"{', '.join(map(_time, TIMESTAMP_COLUMNS))} FROM a_orders",
+    "table_sink": _profile(),
     "profile_tables": _profile(),
     "time_span": """SELECT strftime(MIN(order_purchase_timestamp), '%Y-%m-%d %H:%M:%S') AS min_ts,
         strftime(MAX(order_purchase_timestamp), '%Y-%m-%d %H:%M:%S') AS max_ts FROM a_orders""",
-    "read_rollups": "SELECT * FROM monthly",
     "filter_delivered": """
         SELECT order_id, 'both' AS kind FROM a_orders WHERE order_status = 'delivered'
           AND order_delivered_customer_date IS NOT NULL
@@ -638,8 +640,7 @@ RAW: dict[str, str] = {
         CAST(SUM(price) AS DOUBLE) AS price FROM item_category GROUP BY original""",
     "left_join_products": """SELECT p.product_category_name, COUNT(*) AS n,
         CAST(SUM(freight_value) AS DOUBLE) AS freight
-        FROM a_items i LEFT JOIN (SELECT * FROM a_products WHERE product_category_name IS NOT NULL)
-          p ON i.product_id = p.product_id GROUP BY 1""",
+        FROM a_items i LEFT JOIN a_products p ON i.product_id = p.product_id GROUP BY 1""",
     "left_join_category": """SELECT p.product_id, p.product_category_name,
         c.product_category_name_english FROM a_products p LEFT JOIN a_category_trans c
         ON p.product_category_name = c.product_category_name""",
@@ -647,8 +648,8 @@ RAW: dict[str, str] = {
         payment_installments AS installments
         FROM a_orders o LEFT JOIN top_pay p ON o.order_id = p.order_id""",
     "map_lookup": f"""SELECT c.product_category_name_english AS category,
-        {whole("coalesce(bad_orders, 0)")} AS share_of_bad FROM a_category_trans c
-        LEFT JOIN (SELECT * FROM category_stats WHERE bad_orders >= 40) s
+        coalesce({num(even("delay_rate"))}, 0) AS delay_rate_or_0 FROM a_category_trans c
+        LEFT JOIN (SELECT * FROM category_stats WHERE orders >= 100) s
           ON s.category = c.product_category_name_english""",
     "row_number_top1": """SELECT order_id, payment_type, payment_installments,
         CAST(payment_value AS DOUBLE) AS payment_value FROM top_pay""",
@@ -800,6 +801,10 @@ RAW: dict[str, str] = {
           {num(pct("SUM(is_delayed)", "COUNT(*)"))} AS delayed_pct,
           {num(pct("SUM(is_severely_delayed)", "COUNT(*)"))} AS severe_pct,
           COUNT(DISTINCT main_category) AS n_categories FROM order_facts""",
+    "facts_summary_category": f"""
+        SELECT COUNT(*) AS n_orders, {num(pct("SUM(is_bad)", "COUNT(*)"))} AS bad_pct,
+          {num(pct("SUM(is_delayed)", "COUNT(*)"))} AS delayed_pct,
+          CAST(NULL AS DOUBLE) AS severe_pct, COUNT(DISTINCT category) AS n_categories FROM category_facts""",
     "t1_contingency": " UNION ALL ".join(
         f"SELECT '{c}' AS factor, CAST({c} AS VARCHAR) AS level, {whole('is_bad')} AS outcome, "
         f"COUNT(*) AS n FROM order_facts GROUP BY ALL"
@@ -807,6 +812,14 @@ RAW: dict[str, str] = {
     ),
     "t1_chi2": _chi2({c: c for c in ("is_delayed", "is_severely_delayed")}),
     "t1_chi2_wide": _chi2({c: c for c in ("main_category", "pay_type")}),
+    "t1_p_value": f"""
+        WITH t AS (SELECT *, dof / 2.0 AS a, CAST(chi2 AS DOUBLE) / 2 AS x FROM (
+          {_chi2({c: c for c in ("is_delayed", "is_severely_delayed")})})),
+        lower AS (SELECT factor, SUM(exp((a + k) * ln(x) - x - lgamma(a + k + 1))) AS p
+                  FROM t, range(1000) AS r(k) WHERE x > 0 GROUP BY factor)
+        SELECT t.factor, n, chi2, dof, cramers_v,
+          {num("CASE WHEN x > 0 THEN 1 - p ELSE 1 END", 3)} AS p_value
+        FROM t LEFT JOIN lower ON lower.factor = t.factor""",
     "t2_stratified": f"""
         SELECT CASE WHEN freight_ratio <= 15 THEN {quoted(fv.STRATUM_LABELS[:1])}
                     ELSE {quoted(fv.STRATUM_LABELS[1:])} END AS stratum, COUNT(*) AS n,
@@ -833,11 +846,27 @@ RAW: dict[str, str] = {
               FROM g)
         SELECT l.delay_group AS delay_group, {whole("coalesce(n, 0)")} AS n,
           {num("rate")} AS rate_pct, {num("rate / NULLIF(base, 0)")} AS rr,
-          coalesce(base <= 0, true) AS rr_is_infinite,
-          CASE WHEN rate / NULLIF(base, 0) > 3 THEN 'high'
+          coalesce(base <= 0, true) AS rr_is_infinite, {num("base")} AS base_pct,
+          CASE WHEN rate / NULLIF(base, 0) > 3 OR (base = 0 AND rate > 0) THEN 'high'
                WHEN rate / NULLIF(base, 0) <= 1.2 THEN 'low' ELSE '' END AS mark
         FROM (SELECT * FROM {listed(fv.DELAY_CUT_LABELS, "delay_group")}) l
         LEFT JOIN g ON g.delay_group = l.delay_group CROSS JOIN b""",
+    "t5_model": f"""
+        SELECT * FROM (WITH RECURSIVE d AS (SELECT CAST(delay_days AS DOUBLE) AS x, COUNT(*) AS n,
+            SUM(is_bad) AS k FROM order_facts WHERE delay_days IS NOT NULL GROUP BY 1),
+        fit AS (
+          SELECT 0 AS i, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS b
+          UNION ALL
+          SELECT i + 1, w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb),
+            b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb)
+          FROM (SELECT i, w, b, SUM(n * p * (1 - p) * x * x) + 1 AS hww,
+                  SUM(n * p * (1 - p) * x) AS hwb, SUM(n * p * (1 - p)) AS hbb,
+                  SUM((n * p - k) * x) + w AS gw, SUM(n * p - k) AS gb
+                FROM (SELECT i, w, b, x, n, k, 1 / (1 + exp(-w * x - b)) AS p FROM fit, d)
+                GROUP BY i, w, b)
+          WHERE i < 12)
+        SELECT 'delay_days' AS feature, {num("w", 3)} AS coef, {num("b", 3)} AS intercept
+        FROM fit WHERE i = 12)""",
     "t5_auc": f"""
         WITH x AS (SELECT CAST(delay_days AS DOUBLE) AS x, is_bad FROM order_facts),
         r AS (SELECT *, rank() OVER (ORDER BY x)
@@ -947,5 +976,29 @@ RAW["eda_category_top_freight"] = (
 )
 
 
+def _melted(rollup: str, query: str) -> str:
+    """A roll-up's numbers, one per row."""
+    names = [c.split()[0].strip("`") for c in ROLLUPS[rollup].split(", ")]
+    key, *numbers = [c for c in names if c != "format"]
+    casts = ", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in numbers)
+    columns = ", ".join(f'"{c}"' for c in numbers)
+    return f"""SELECT '{rollup}' AS rollup, key, metric, value FROM (
+        UNPIVOT (SELECT "{key}" AS key, {casts} FROM ({RAW[query]})) ON {columns}
+        INTO NAME metric VALUE value)"""
+
+
+RAW["read_rollups"] = " UNION ALL ".join(
+    _melted(name, query)
+    for name, query in {
+        "kpi_summary": "rollup_kpi",
+        "monthly_trend": "rollup_monthly",
+        "delay_dose": "rollup_delay_dose",
+        "group_compare": "rollup_group_compare",
+        "category_risk": "rollup_category_risk",
+        "payment": "rollup_payment",
+    }.items()
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: _with_parts_nested(sql) for name, sql in RAW.items()}

@@ -35,8 +35,8 @@ def explore(t: Tables) -> Results:
     orders, reviews, items, payments = (
         t[n] for n in ("orders", "reviews", "order_items", "payments")
     )
-    gmv = eda.category_gmv(items, t["products"], t["category_trans"])
-    lorenz = eda.seller_lorenz(items)
+    gmv = materialize(eda.category_gmv(items, t["products"], t["category_trans"]))
+    lorenz = materialize(eda.seller_lorenz(items))
     return {
         "profile": eda.profile_tables({name: t[name] for name in TABLES}),
         "time_span": eda.time_span(orders),
@@ -118,22 +118,21 @@ def find_topics(t: Tables, k: int = 6) -> Results:
     assigned = materialize(model.assign(documents).select("topic", "is_delayed"))
     return {
         "l1_topics": words,
-        "l2_shares": topics.topic_share(assigned, k),
-        "l2_labels": topics.topic_labels(words),
+        "l2_shares": topics.labelled_share(assigned, words, k),
         "l3_by_delay": topics.topic_by_delay(assigned, words, k),
     }
 
 
 def rank_categories(t: Tables) -> Results:
     """Step 6: the categories where delay costs most."""
-    by_category = materialize(
-        risk.category_stats(
-            facts.order_facts_category(
-                t["orders"], t["order_items"], t["reviews"], t["products"], t["category_trans"]
-            )
+    wide = materialize(
+        facts.order_facts_category(
+            t["orders"], t["order_items"], t["reviews"], t["products"], t["category_trans"]
         )
     )
+    by_category = materialize(risk.category_stats(wide))
     return {
+        "headline": facts.facts_summary(wide, "category"),
         "r1_rates": risk.category_rates(by_category),
         "r2_lift": risk.delay_lift(by_category),
         "r3_risk": risk.risk_score(by_category),

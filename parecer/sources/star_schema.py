@@ -64,7 +64,7 @@ def _payments(raw: DataFrame) -> DataFrame:
 
 def _reviews(raw: DataFrame) -> DataFrame:
     score = 1 + (F.col("l_quantity").cast("int") * 7 + F.col("l_linenumber")) % 5
-    return raw.where(F.col("l_linenumber") <= 2).select(
+    return raw.select(
         F.col("l_orderkey").alias("order_id"), score.cast("int").alias("review_score")
     )
 
@@ -77,21 +77,12 @@ def _products(raw: DataFrame) -> DataFrame:
 
 
 def _category_trans(raw: DataFrame) -> DataFrame:
-    return (
-        raw.where(F.col("p_brand") != "Brand#2")
-        .select(
-            F.lower("p_brand").alias("product_category_name"),
-            F.upper("p_brand").alias("product_category_name_english"),
-        )
-        .distinct()
-    )
-
-
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over at least as many tasks as there are cores. A scan of many files already is;
-    a single small file would have all its texts cleaned by one task."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    # One brand has no English name, so that the fallback to the original one is exercised.
+    translated = F.when(F.col("p_brand") != "Brand#2", F.upper("p_brand"))
+    return raw.select(
+        F.lower("p_brand").alias("product_category_name"),
+        translated.alias("product_category_name_english"),
+    ).distinct()
 
 
 def _text_reviews(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -101,8 +92,7 @@ def _text_reviews(documents: DataFrame, labels: DataFrame) -> DataFrame:
         .when(F.col("quality") == 1, 4 + doc % 2)
         .otherwise(F.lit(3))
     )
-    texts = _spread(documents.select("doc_id", "text"), "doc_id")
-    return texts.join(labels, "doc_id", "left").select(
+    return documents.select("doc_id", "text").join(labels, "doc_id", "left").select(
         doc.alias("review_id"),
         doc.alias("order_id"),
         score.cast("int").alias("review_score"),
@@ -177,7 +167,7 @@ ADAPTER_SQL: dict[str, str] = {
     "a_reviews": """
         SELECT l_orderkey AS order_id,
           1 + (CAST(l_quantity AS INT)*7 + l_linenumber) % 5 AS review_score
-        FROM lineitem WHERE l_linenumber <= 2""",
+        FROM lineitem""",
     "a_products": """
         SELECT p_partkey AS product_id,
           CASE WHEN p_partkey % 53 = 0 THEN NULL ELSE lower(p_brand) END
@@ -185,8 +175,9 @@ ADAPTER_SQL: dict[str, str] = {
         FROM part""",
     "a_category_trans": """
         SELECT DISTINCT lower(p_brand) AS product_category_name,
-          upper(p_brand) AS product_category_name_english
-        FROM part WHERE p_brand <> 'Brand#2'""",
+          CASE WHEN p_brand <> 'Brand#2' THEN upper(p_brand) END
+            AS product_category_name_english
+        FROM part""",
     "a_customers": """
         SELECT c_custkey AS customer_id, c_nationkey AS customer_zip_code_prefix,
           c_mktsegment AS customer_city

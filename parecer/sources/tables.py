@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from parecer.sources.schemas import (
     MULTI_LINE_TABLES,
@@ -49,15 +50,21 @@ def parse_timestamps(
     return df.withColumns(parsed) if parsed else df
 
 
+def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """A CSV file or folder as text columns named by the first header.
+
+    A further file whose header has other names or another order stops the job, since its
+    values would be taken for those of other columns. A byte-order mark is no part of a name.
+    """
+    options = {"header": True, "escape": '"', "multiLine": multi_line}
+    names = [c.lstrip("\ufeff") for c in spark.read.options(**options).csv(path).columns]
+    schema = StructType([StructField(name, StringType()) for name in names])
+    return spark.read.options(enforceSchema=False, **options).schema(schema).csv(path)
+
+
 def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """One CSV table. Columns are matched by header name; nothing is inferred from rows."""
-    raw = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", table in MULTI_LINE_TABLES)
-        .csv(path)
-    )
-    return _typed(raw, TABLES.get(table, {}))
+    return _typed(_csv(spark, path, table in MULTI_LINE_TABLES), TABLES.get(table, {}))
 
 
 def read_tables(
@@ -102,5 +109,7 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str) -> dict[str, str]
 
 
 def read_rollup(spark: SparkSession, path: str, rollup: str) -> DataFrame:
-    """One dashboard roll-up file, by its known columns."""
-    return spark.read.schema(ROLLUPS[rollup]).option("header", True).csv(path)
+    """One dashboard roll-up file: its known columns, found by name."""
+    raw = _csv(spark, path, multi_line=False)
+    known = StructType.fromDDL(ROLLUPS[rollup])
+    return raw.select(*[F.col(f"`{c.name}`").cast(c.dataType).alias(c.name) for c in known])

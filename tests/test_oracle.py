@@ -8,14 +8,14 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as entry  # noqa: E402
+from parecer.plans import catalog  # noqa: E402
 from tools.check_oracle import compare, connect  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.01"
 ORACLES = entry.oracle_sql()
-ROWS_ONLY = {
-    "t1_p_value", "t3_odds_ratios", "t5_model", "l1_lda_topics", "l2_topic_share",
-    "l3_topic_by_delay",
-}
+ROWS_ONLY = {"t3_odds_ratios", "l1_lda_topics", "l2_topic_share", "l3_topic_by_delay"}
+# The corpus operators have tests of their own.
+NAMES = list(catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     verdict, _, n = compare(spark, con, FOLDER, name, entry.queries()[name], ORACLES.get(name))
     assert verdict == ("rows only" if name in ROWS_ONLY else "ok")
@@ -31,7 +31,7 @@ def test_query(spark, con, name):
 
 
 def test_every_query_but_the_models_has_sql():
-    assert set(entry.queries()) - set(ORACLES) == ROWS_ONLY
+    assert set(NAMES) - set(ORACLES) == ROWS_ONLY
     assert set(ORACLES) <= set(entry.queries())
 
 

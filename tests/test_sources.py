@@ -1,4 +1,8 @@
 import os
+import os
+import subprocess
+import sys
+import time
 from datetime import datetime
 from types import SimpleNamespace
 
@@ -108,10 +112,46 @@ def test_a_cluster_without_shared_folder_is_an_error():
 
 
 def test_shuffle_partitions_follow_the_input_size():
-    assert settings_for(100 * 2**40, 4000)["spark.sql.shuffle.partitions"] == str(100 * 2**40 // 2**27)
+    large = settings_for(100 * 2**40, 4000)
+    assert large["spark.sql.shuffle.partitions"] == "40000"
+    assert 128 * 2**20 <= int(large["spark.sql.files.maxPartitionBytes"]) <= 512 * 2**20
+    assert settings_for(2**40, 400)["spark.sql.shuffle.partitions"] == "512"
     assert settings_for(0, 8)["spark.sql.shuffle.partitions"] == "8"
 
 
+def test_intermediate_tables_go_when_the_application_ends(tmp_path):
+    code = (
+        "from parecer.session import *\n"
+        f"s = local_session(1, 'x', '1g', {{'spark.checkpoint.dir': {str(tmp_path)!r}}})\n"
+        "materialize(s.range(3))\n"
+        "s.range(3).write.parquet(scratch_path(s, 'x'))\n"
+        f"import os; assert len(os.listdir({str(tmp_path)!r})) == 2\n"
+        "s.stop()\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+    for _ in range(50):
+        if not os.listdir(tmp_path):
+            break
+        time.sleep(0.2)
+    assert os.listdir(tmp_path) == []
+
+
+def test_a_second_file_with_other_columns_stops_the_job(spark, tmp_path):
+    folder = tmp_path / "products.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("product_id,product_category_name\np1,toys\n")
+    (folder / "b.csv").write_text("product_category_name,product_id\ntoys,p2\n")
+    with pytest.raises(Exception):
+        io.read_csv(spark, str(folder), "products").collect()
+
+
+def test_a_byte_order_mark_is_no_part_of_a_name(spark, tmp_path):
+    path = tmp_path / "dose.csv"
+    path.write_bytes(b"\xef\xbb\xbfbads,delay_bucket,brate,ords\n1,on_time,10.0,7\n")
+    assert rows(io.read_rollup(spark, str(path), "delay_dose")) == [("on_time", 7, 1, 10.0)]
+
+
 def test_all_steps_write_their_results(spark, tmp_path):
     t = star_schema_tables(spark, "/root/testdata/sf0.01")
     io.write_tables({**t, "reviews": t["reviews"]}, str(tmp_path / "tables"))

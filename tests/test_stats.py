@@ -176,3 +176,23 @@ def test_thresholds_split_all_orders(planted):
 def test_strata(planted):
     got = stats.stratified(planted).collect()
     assert sum(r["n"] for r in got) == planted.count()
+
+
+@pytest.mark.parametrize(
+    "chi2, dof, p",
+    [
+        (3.841458820694124, 1, 0.05), (5.991464547107979, 2, 0.05), (7.814727903251179, 3, 0.05),
+        (0.0, 4, 1.0), (1600, 1601, 0.5023514), (3094, 3094, 0.4966192), (40.0, 2, 2.0611536e-9),
+    ],
+)
+def test_tail_of_chi_square(chi2, dof, p):
+    assert stats.chi_square_survival(chi2, dof) == pytest.approx(p, rel=2e-3)
+
+
+def test_infinite_risk_is_marked_high(spark):
+    facts = spark.createDataFrame(
+        [(0, 0)] * 5 + [(6, 1)] * 3 + [(6, 0)], "delay_days int, is_bad int"
+    )
+    got = {r["delay_group"]: r for r in stats.relative_risk(facts).collect() if r["n"]}
+    marks = {name: (r["mark"], r["base_pct"]) for name, r in got.items()}
+    assert sorted(marks.values()) == [("", 0.0), ("high", 0.0)]

@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import pytest
@@ -155,7 +156,17 @@ def test_labels_break_ties_by_lexicon_order(spark):
     ]
 
 
-def test_no_vocabulary_is_an_error(spark):
-    docs = spark.createDataFrame([(["a"],)], "terms array<string>")
-    with pytest.raises(ValueError):
-        topics.fit_topics(docs)
+def test_no_vocabulary_gives_an_empty_model(spark):
+    docs = spark.createDataFrame([(["a"], 1)], "terms array<string>, is_delayed int")
+    model = topics.fit_topics(docs)
+    words, assigned = model.topics(spark), model.assign(docs)
+    assert rows(words) == []
+    assert [r["n"] for r in topics.topic_share(assigned).collect()] == [0] * 6
+    assert [r["n"] for r in topics.labelled_share(assigned, words).collect()] == [0] * 6
+    assert [r["n_late"] for r in topics.topic_by_delay(assigned, words).collect()] == [0] * 6
+
+
+def test_the_schedule_does_not_depend_on_the_corpus():
+    parameters = inspect.signature(topics.fit_topics).parameters
+    assert parameters["fraction"].default * parameters["iterations"].default == 20
+    assert not {"batch_size", "most_batches"} & set(parameters)
