@@ -90,10 +90,16 @@ def shared_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="parecer-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
-        _delete_at_end(spark, sc.getCheckpointDir())
+    if sc.applicationId not in _ending:
+        _ending.add(sc.applicationId)
+        _delete_at_end(spark, sc.getCheckpointDir())  # a folder of this application alone
     return folder
 
 
+#: Applications whose checkpoints are deleted when they end.
+_ending: set[str] = set()
+
+
 def _delete_at_end(spark: SparkSession, path: str) -> None:
     files, where = _file_system(spark, path)
     files.mkdirs(where)

@@ -109,7 +109,7 @@ def planted(spark):
     docs = spark.createDataFrame(
         data, "review_id string, planted int, is_delayed int, terms array<string>"
     ).cache()
-    return docs, topics.fit_topics(docs, epochs=30, min_df=2)
+    return docs, topics.fit_topics(docs, fraction=1.0, iterations=30, min_df=2)
 
 
 def test_topics_recover_the_planted_word_sets(spark, planted):
