@@ -139,4 +139,73 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = (
+    "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+_PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BLANK = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+
+def _escaped(text: str) -> str:
+    for plain, safe in chat.ESCAPES.items():
+        text = f"replace({text}, '{plain}', '{safe}')"
+    return text
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least({decontaminate.WINDOW}, len(w)) AS n
+              FROM (SELECT item_id, {_PLAIN} AS w FROM benchmark WHERE item_id IS NOT NULL)
+              WHERE len(w) > 0),
+        phrases AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS s
+                    FROM b, unnest(range(1, len(w) - n + 2)) AS t(i)),
+        sizes AS (SELECT DISTINCT n FROM phrases),
+        windows AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+                    FROM (SELECT * FROM d, sizes), unnest(range(1, len(w) - n + 2)) AS t(i)),
+        hits AS (SELECT r, i, windows.n, item
+                 FROM windows JOIN phrases ON windows.n = phrases.n AND windows.s = phrases.s),
+        words AS (SELECT r, COUNT(DISTINCT j) AS n_hit
+                  FROM hits, unnest(range(i, i + n)) AS t(j) GROUP BY r),
+        items AS (SELECT r, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+                  FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit,
+          coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+          coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words ON words.r = d.r LEFT JOIN items ON items.r = d.r""",
+    "op8_chat": rf"""
+        WITH said AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+          FROM conversations
+          UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok'
+          FROM (VALUES (0, 'user'), (1, 'assistant')) AS own(turn, role)),
+        placed AS (
+          SELECT *, COUNT(*) OVER (PARTITION BY conv_id) AS n,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+            length('{chat.HEAD}' || {_escaped("role")} || '{chat.COLON}' || {_escaped("text")}
+                   || ' </turn>' || chr(10)) AS size
+          FROM said),
+        grown AS (SELECT *, SUM(size) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM placed)
+        SELECT conv_id, COUNT(*) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+          CAST(coalesce(SUM(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), ''))
+            AS loss_sha256,
+          CAST(SUM(upto) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
+        FROM grown GROUP BY conv_id""",
+    "op10_minhash_dedup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_BLANK} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+              FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+        n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c
+                   FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+                  WHERE 100 * c >= {minhash_dedup.PERCENT} * (x.n + y.n - c)),
+        reach AS (SELECT doc_id AS node, doc_id AS root FROM d
+                  UNION SELECT b, root FROM reach JOIN links ON a = node),
+        least_one AS (SELECT node, MIN(root) AS component_id FROM reach GROUP BY node)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id,
+          component_id = d.doc_id AS kept
+        FROM d JOIN least_one ON node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+}
