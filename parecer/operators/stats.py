@@ -14,6 +14,7 @@ from parecer.functions import fixed_values as fv
 from parecer.functions.ladders import cut
 from parecer.functions.measures import rate_among, share
 from parecer.operators.ranking import literal_rows, value_counts
+from parecer.session import materialize
 
 
 def contingency(df: DataFrame, factors: Sequence[str], outcome: str = "is_bad") -> DataFrame:
@@ -195,6 +196,9 @@ def auc(facts: DataFrame, feature: str = "delay_days", outcome: str = "is_bad")
     The model's probability rises or falls with the feature, as the sign of its coefficient
     says, and that sign is the sign of the covariance with the outcome. So the AUC follows
     from the counts per distinct value: pairs ranked right, ties counted half.
+
+    A feature may have as many values as there are rows, so the values are split into ranges,
+    counted on within each, and the totals of the ranges below are added.
     """
     y = F.col(outcome)
     counts = (
@@ -202,12 +206,19 @@ def auc(facts: DataFrame, feature: str = "delay_days", outcome: str = "is_bad")
         .groupBy(feature)
         .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
     )
-    # One row per distinct value: whole days, so the ordered window stays small.
-    below = Window.orderBy(feature).rowsBetween(Window.unboundedPreceding, -1)
+    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = materialize(
+        counts.repartitionByRange(parts, feature).withColumn("part", F.spark_partition_id())
+    )
+    # One row per range, at most ``parts`` of them.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = split.groupBy("part").agg(F.sum("neg").alias("part_neg")).select(
+        "part", F.coalesce(F.sum("part_neg").over(before), F.lit(0)).alias("neg_before")
+    )
+    below = Window.partitionBy("part").orderBy(feature).rowsBetween(Window.unboundedPreceding, -1)
     x, pos, neg = (F.col(c).cast("double") for c in (feature, "pos", "neg"))
-    sums = counts.withColumn(
-        "neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)).cast("double")
-    ).agg(
+    neg_below = F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg_before")
+    sums = split.join(offsets, "part").withColumn("neg_below", neg_below.cast("double")).agg(
         F.sum(pos).alias("pos"),
         F.sum(neg).alias("neg"),
         F.sum(pos * (F.col("neg_below") + neg / 2)).alias("won"),

@@ -12,7 +12,7 @@ from parecer.sources.star_schema import star_schema_tables
 FOLDER = "/root/testdata/sf0.01"
 # These write or fit before they return; their parts are covered by the others.
 EAGER = {
-    "read_tables", "table_sink", "read_rollups", "t3_odds_ratios", "t3_standardize", "t5_model",
+    "read_tables", "table_sink", "read_rollups", "t3_odds_ratios", "t3_standardize", "t5_model", "t5_auc",
     "l0_vocabulary", "l1_lda_topics", "l2_topic_share", "l3_topic_by_delay",
 }
 
