@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from parecer.operators import drivers, facts, orders, texts
+from parecer.operators import drivers, eda, facts, orders, rollups, texts
 from parecer.plans import catalog
 from parecer.sources.star_schema import star_schema_tables
 
@@ -142,3 +142,20 @@ def test_item_heavy_product_is_split_by_adaptive_execution(spark):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def test_items_are_summed_per_product_before_they_meet_categories(no_small_tables):
+    t = star_schema_tables(no_small_tables, FOLDER)
+    plan = lines(eda.category_gmv(t["order_items"], t["products"], t["category_trans"]))
+    items = [x for x in plan if x.startswith("Exchange hashpartitioning(product_id")]
+    assert len(items) == 2  # one per side of the join
+    join = next(i for i, x in enumerate(plan) if "SortMergeJoin" in x and "product_id" in x)
+    assert any("partial_sum" in x for x in plan[join:])
+
+
+def test_payments_are_shuffled_once_for_the_roll_ups(no_small_tables):
+    t = star_schema_tables(no_small_tables, FOLDER)
+    names = ("orders", "order_items", "reviews", "products", "category_trans", "payments")
+    text = plan_of(rollups.rollup_facts(*[t[n] for n in names]))
+    scans = re.findall(r"ReadSchema: struct<[^>]*l_linestatus", text)
+    assert len(scans) == 1
