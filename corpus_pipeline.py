@@ -13,6 +13,8 @@ from parecer.session import scratch_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 TOKENIZER = "word_bpe_49k.json"
+#: Passages of this many bytes, some forty words, are cut where they occur again.
+REPEATED_BYTES = 250
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur again, anywhere, are cut from the texts."""
-    return suffix_dedup.documents_without_repeats(docs)
+    return suffix_dedup.documents_without_repeats(docs, length=REPEATED_BYTES)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
