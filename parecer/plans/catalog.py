@@ -43,6 +43,9 @@ SAMPLE_THEMES = {
 SAMPLE_WORD_THEMES = {word: name for name, words in SAMPLE_THEMES.items() for word in words}
 SAMPLE_WORDS = ("that", "und", "pour")
 
+# The topic model's 20 passes in 80 iterations instead of 340: as many documents seen, in
+# fewer and larger jobs.
+FEWER_JOBS = {"fraction": 0.25, "iterations": 80}
 # Digits to which a fit by another method agrees.
 MODEL_DIGITS = 3
 
@@ -767,7 +770,7 @@ def l0_vocabulary(t: Tables) -> DataFrame:
 
 def _model(t: Tables) -> tuple[topics.TopicModel, DataFrame]:
     documents = materialize(_documents(t))
-    return topics.fit_topics(documents), documents
+    return topics.fit_topics(documents, **FEWER_JOBS), documents
 
 
 @query
