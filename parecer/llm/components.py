@@ -10,7 +10,7 @@ from parecer.llm.storage import written
 
 def _smallest(pairs: DataFrame) -> DataFrame:
     """For each node the smallest of its neighbours and itself, combined before the shuffle."""
-    return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node`` and ``component`` (the smallest node reachable) of every node on an edge
+    """``id`` and ``component`` (the smallest node reachable) of every node on an edge
     between two different nodes; loops, repeated edges and edges with nulls change nothing.
 
     Every round keeps one edge to a smaller node per node and minimum, so the edges never
@@ -55,7 +55,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         now = after
         if told.where(F.col("n") > 1).isEmpty() and inner.isEmpty():
             break
-    roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        roots.select("node", F.col("node").alias("component"))
+    roots = now.select(F.col("v").alias("id")).distinct()
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
+        roots.select("id", F.col("id").alias("component"))
     )

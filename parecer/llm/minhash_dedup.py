@@ -13,7 +13,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parecer.llm.components import connected_components
@@ -24,9 +24,13 @@ SHINGLE = 5
 PERCENT = 75
 GROUPS = 20
 ROWS = 3
+#: Members of its buckets that a class is compared with before all that remain.
+TRIES = 4
 
 _SETS = "id_key long, text_key long, n_shingles long, set_a long, set_b long"
-_SIGNED = _SETS + ", bits_a long, bits_b long, bands array<long>"
+_SIGNED = _SETS + ", bits_a long, bits_b long, marks array<long>, bands array<long>"
+#: Longs of the bitmap in which each shingle of a set marks one bit.
+MARKS = 8
 
 
 def shingle_sets(raw, at, size: int) -> list[np.ndarray]:
@@ -62,7 +66,7 @@ def _sign(batches, size: int, groups: int, rows: int):
     places = U(1) << np.arange(64, dtype=np.uint64)
     for batch in batches:
         raw, at = batches_of(batch)
-        parts = {k: [] for k in ("n", "a", "b", "x", "y", "bands")}
+        parts = {k: [] for k in ("n", "a", "b", "x", "y", "marks", "bands")}
         for i, j in blocks(at):
             sets = shingle_sets(raw, at[i:j + 1], size)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -76,6 +80,9 @@ def _sign(batches, size: int, groups: int, rows: int):
                     least[filled, f] = np.minimum.reduceat((every ^ plus[f]) * times[f], starts)
                 prints[0, filled] = np.add.reduceat(mix(every), starts)
                 prints[1, filled] = np.add.reduceat(mix(every ^ U(0x5851F42D4C957F2D)), starts)
+            marks = np.zeros((len(sizes), 64 * MARKS), dtype=np.uint8)
+            marks[np.repeat(np.arange(len(sizes)), sizes), (every % U(64 * MARKS)).astype(int)] = 1
+            marks = np.packbits(marks, axis=1).view(np.uint64)
             spread = mix(least)
             bands = spread.reshape(len(sizes), 2 * groups, rows)
             value = np.full(bands.shape[:2], 0, dtype=np.uint64)
@@ -88,20 +95,23 @@ def _sign(batches, size: int, groups: int, rows: int):
                 ("n", sizes), ("a", prints[0]), ("b", prints[1]),
                 ("x", (bit[:, :64] * places).sum(axis=1, dtype=np.uint64)),
                 ("y", (bit[:, 64:] * places).sum(axis=1, dtype=np.uint64)),
+                ("marks", marks.reshape(-1)),
                 ("bands", value.reshape(-1)),
             ):
                 parts[key].append(made.view(np.int64))
         n = batch.num_rows
         joined = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in parts.items()}
-        limits = np.arange(n + 1, dtype=np.int32) * (2 * groups)
+        lists = lambda k, size: pa.ListArray.from_arrays(
+            pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(joined[k])
+        )
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1),
                 *(pa.array(joined[k]) for k in ("n", "a", "b", "x", "y")),
-                pa.ListArray.from_arrays(pa.array(limits), pa.array(joined["bands"])),
+                lists("marks", MARKS), lists("bands", 2 * groups),
             ],
             names=["id_key", "text_key", "n_shingles", "set_a", "set_b", "bits_a", "bits_b",
-                   "bands"],
+                   "marks", "bands"],
         )
 
 
@@ -123,26 +133,32 @@ def _full_sets(batches, size: int):
 
 
 def tensor_keys(reps: DataFrame, groups: int) -> DataFrame:
-    """``id``, ``key``: every pair of a first-collection and a second-collection band value of
-    a document that at least one other document shares.
+    """``id``, ``score``, ``i``, ``j``, ``key``: every pair of a first-collection and a
+    second-collection band value of a document that other documents share, by their places.
 
     Band values nobody shares are dropped before the pairs are formed. No pair of documents
-    is lost: two of them meet in a table only if they share both values of its key.
+    is lost: two of them meet in a table only if they share both values of its key. The score
+    counts the documents met under the values, so it is highest amid a group of copies.
     """
     values = reps.select("id", F.posexplode("bands").alias("place", "value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    one = F.struct(F.col("place").cast("byte").alias("place"), "value")
     kept = (
-        values.join(shared.select("value"), "value")
+        values.join(shared, "value")
         .groupBy("id")
         .agg(
-            F.collect_list(F.when(F.col("place") < groups, F.col("value"))).alias("first"),
-            F.collect_list(F.when(F.col("place") >= groups, F.col("value"))).alias("second"),
+            F.sum("n").alias("score"),
+            F.collect_list(F.when(F.col("place") < groups, one)).alias("first"),
+            F.collect_list(F.when(F.col("place") >= groups, one)).alias("second"),
         )
     )
-    pairs = kept.select("id", "second", F.explode("first").alias("x")).select(
-        "id", "x", F.explode("second").alias("y")
+    pairs = kept.select("id", "score", "second", F.explode("first").alias("x")).select(
+        "id", "score", "x", F.explode("second").alias("y")
+    )
+    return pairs.select(
+        "id", "score", F.col("x.place").alias("i"), F.col("y.place").alias("j"),
+        F.xxhash64("x.value", "y.value").alias("key"),
     )
-    return pairs.select("id", F.xxhash64("x", "y").alias("key"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -160,42 +176,79 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     )
 
 
-def _crossing(buckets: DataFrame, labels: DataFrame, percent: int, n_bits: int) -> DataFrame:
-    """Pairs of one bucket that are not yet linked and may be similar.
-
-    Sizes that differ too much rule a pair out for certain. So do minhash bits that differ at
-    more than six standard deviations beyond what the least similarity gives. Both are tested
-    inside the join, so pairs of a large bucket are not emitted.
-    """
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The buckets that hold more than one component, each with one of its members: by the
+    hash of the id, so that buckets with common members have few different ones."""
     placed = buckets.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    mixed = (
+    drawn = F.xxhash64("id")
+    keys = (
         placed.groupBy("key")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
+             F.max_by("id", drawn).alias("hub"), F.max_by("comp", drawn).alias("hub_comp"))
         .where("low < high")
-        .select("key")
-    )
-    open_ones = written(placed.join(mixed, "key"), "open-buckets")
-    one = open_ones.select(
-        "key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"),
-        F.col("bits_a").alias("xa"), F.col("bits_b").alias("ya"),
-    )
-    two = open_ones.select(
-        "key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"),
-        F.col("bits_a").alias("xb"), F.col("bits_b").alias("yb"),
+        .select("key", "hub", "hub_comp")
     )
+    return written(placed.drop("component").join(keys, "key"), "open-buckets")
+
+
+def _may_be_similar(percent: int, n_bits: int):
+    """Of a pair of sides a and b. Three things rule it out: sizes that differ too much; too
+    few common marks, as two sets share no more shingles than marks and those that fall on a
+    mark already made; and, but for one in a thousand million, minhash bits that differ six
+    standard deviations beyond what the least similarity gives."""
     chance = (1 - percent / 100) / 2
     most = n_bits * chance + 6 * (n_bits * chance * (1 - chance)) ** 0.5
     differing = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + F.bit_count(
         F.col("ya").bitwiseXOR(F.col("yb"))
     )
+    common = sum(
+        F.bit_count(F.col("marks_a")[i].bitwiseAND(F.col("marks_b")[i])) for i in range(MARKS)
+    ) + F.least("extra_a", "extra_b")
+    return (
+        (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        & (differing <= most)
+        & ((100 + percent) * common >= percent * (F.col("na") + F.col("nb")))
+    )
+
+
+def _side(reps: DataFrame, name: str, *more: str) -> DataFrame:
+    """A representative's size, bits and marks as one side of a pair."""
+    made = sum(F.bit_count(F.col("marks")[i]) for i in range(MARKS))
+    return reps.select(
+        F.col("id").alias(name), F.col("n_shingles").alias(f"n{name}"),
+        F.col("bits_a").alias(f"x{name}"), F.col("bits_b").alias(f"y{name}"),
+        F.col("marks").alias(f"marks_{name}"), (F.col("n_shingles") - made).alias(f"extra_{name}"),
+        *[F.col(c).alias(f"{c}_{name}") for c in more],
+    )
+
+
+def _across(open_buckets: DataFrame, reps: DataFrame, percent: int, groups: int, n_bits: int):
+    """Every pair of two components that meet in a bucket and may be similar, once.
+
+    The tests stand inside the join, so a bucket's other pairs are not emitted, and a pair of
+    several buckets is emitted in the first of them only.
+    """
+    placed = open_buckets.select("key", "i", "j", "id", "comp").join(
+        reps.select("id", "n_shingles", "bits_a", "bits_b", "marks", "bands"), "id"
+    )
+    one, two = _side(placed, "a", "key", "comp", "bands", "i", "j"), _side(
+        placed, "b", "key", "comp", "bands"
+    )
+
+    def earlier(start, n):
+        return F.arrays_overlap(
+            F.slice("bands_a", start, n.cast("int")), F.slice("bands_b", start, n.cast("int"))
+        )
+
     met = one.join(
         two,
-        (one["key"] == two["key"])
-        & (F.col("ca") < F.col("cb"))
-        & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        & (differing <= most),
+        (F.col("key_a") == F.col("key_b"))
+        & (F.col("comp_a") < F.col("comp_b"))
+        & _may_be_similar(percent, n_bits)
+        & ~earlier(1, F.col("i_a"))
+        & ~earlier(groups + 1, F.col("j_a") - groups),
     )
-    return met.select("a", "b").distinct()
+    return met.select("a", "b")
 
 
 def near_duplicates(
@@ -214,9 +267,11 @@ def near_duplicates(
     in its twin's component and both rows are returned; a row without doc_id takes its class's
     component. Other columns, whatever their names, are not read. An empty table gives none.
 
-    Links are found in two rounds. First each class is compared with one other class, the
-    smallest it shares a table key with. Then only pairs between components that still meet
-    under a key are compared; pairs within a component would change nothing.
+    Links are found in three rounds. First each class is compared with one other, the one met
+    most amid those it shares a key with. Then those in buckets of more than one component are
+    compared with ``TRIES`` members drawn from their buckets. These two spare the last round
+    most of its work: every pair of two components that still meet is compared, whatever was
+    tried before; pairs within a component would change nothing.
     """
     spark = documents.sparkSession
     small_batches(spark)
@@ -232,23 +287,27 @@ def near_duplicates(
         .agg(
             F.min(
                 F.struct((F.col("id_key") == NO_ID).alias("nameless"), "id_key", "text_key",
-                         "bits_a", "bits_b", "bands")
+                         "bits_a", "bits_b", "marks", "bands")
             ).alias("r")
         )
         .select(*one_set, F.col("r.id_key").alias("rep"), F.col("r.text_key").alias("rep_text"),
-                F.xxhash64(*one_set).alias("id"), "r.bits_a", "r.bits_b", "r.bands"),
+                F.xxhash64(*one_set).alias("id"), "r.bits_a", "r.bits_b", "r.marks", "r.bands"),
         "classes",
     )
     keys = tensor_keys(reps, groups)
-    by_key = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    by_key = keys.groupBy("key").agg(
+        F.min("id").alias("least"), F.max("id").alias("most"),
+        F.max_by("id", "score").alias("hub"), F.max("score").alias("hub_score"),
+    )
     buckets = written(
-        keys.join(by_key.where("least < most"), "key").select("key", "id", "least"), "tables"
+        keys.join(by_key.where("least < most"), "key").drop("least", "most", "score"), "tables"
     )
     stars = written(
-        buckets.where("least < id").groupBy("id").agg(F.min("least").alias("a"))
+        buckets.where("hub != id").groupBy("id").agg(F.max_by("hub", "hub_score").alias("a"))
         .select("a", F.col("id").alias("b")),
         "stars",
     )
+    buckets = buckets.drop("hub", "hub_score")
     wanted = buckets.select("id").distinct().join(
         reps.select("id", F.col("rep").alias("id_key"), F.col("rep_text").alias("text_key")), "id"
     )
@@ -258,15 +317,31 @@ def near_duplicates(
         .mapInArrow(partial(_full_sets, size=shingle), "id long, shingles array<long>"),
         "shingle-sets",
     )
+    n_bits = min(128, 2 * groups * rows)
     links = written(verified(stars, sets, percent), "links")
-    labels = connected_components(links).withColumnRenamed("node", "id")
-    described = buckets.select("key", "id").join(
-        reps.select("id", "n_shingles", "bits_a", "bits_b"), "id"
+    labels = connected_components(links)
+    mixed = _mixed(buckets, labels)
+    # The more buckets lead to one member, the likelier the two are similar.
+    often = Window.partitionBy("id").orderBy(F.desc("n"), "hub")
+    drawn = (
+        mixed.where("comp != hub_comp")
+        .groupBy("id", "hub")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("place", F.row_number().over(often))
+        .where(F.col("place") <= TRIES)
+        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        .distinct()
+        .join(_side(reps, "a"), "a")
+        .join(_side(reps, "b"), "b")
+        .where(_may_be_similar(percent, n_bits))
+        .select("a", "b")
     )
-    more = _crossing(described, labels, percent, min(128, 2 * groups * rows))
-    more = written(verified(more, sets, percent), "links")
-    if not more.isEmpty():
-        labels = connected_components(links.union(more)).withColumnRenamed("node", "id")
+    links = links.union(written(verified(drawn, sets, percent), "links"))
+    labels = connected_components(links)
+    mixed = _mixed(mixed.select("key", "i", "j", "id"), labels)
+    rest = written(verified(_across(mixed, reps, percent, groups, n_bits), sets, percent), "links")
+    if not rest.isEmpty():
+        labels = connected_components(links.union(rest))
     placed = reps.select("id", "rep", *one_set).join(labels, "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
