@@ -123,8 +123,8 @@ def features(counts: dict[str, np.ndarray]) -> np.ndarray:
 
 
 class Trees:
-    """Boosted trees as flat node arrays. A node below zero split has no feature and holds a
-    value; otherwise rows with feature <= threshold go left, the others to the node after."""
+    """Boosted trees as flat node arrays. A node without feature (-1) holds a value; in any
+    other, rows up to the threshold go to the node ``left``, the others to the one after it."""
 
     def __init__(self, base: float):
         self.base = base
