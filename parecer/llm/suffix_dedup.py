@@ -25,6 +25,8 @@ LENGTH = 400
 GRAM = 32
 #: Different regions of one anchor that one task sorts; anchors with more are split.
 MOST_REGIONS = 2000
+#: Strings of a long text whose anchors are worked out at once.
+TEXT_BYTES = 1 << 20
 #: Bytes sorted at once.
 SORT_BYTES = 1 << 20
 #: Offsets in a part of a split anchor.
@@ -66,6 +68,14 @@ def text_regions(data: np.ndarray, length: int, gram: int):
             a = end
 
 
+def _all_regions(data: np.ndarray, length: int, gram: int):
+    """The regions of a text, worked out over ``TEXT_BYTES`` strings at a time. A region that
+    is cut there is two, with one anchor; its strings are found all the same."""
+    for base in range(0, len(data), TEXT_BYTES):
+        for *row, start in text_regions(data[base:base + TEXT_BYTES + length - 1], length, gram):
+            yield *row, base + start
+
+
 def _anchors(batches, length: int, gram: int):
     signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
     for batch in batches:
@@ -75,7 +85,7 @@ def _anchors(batches, length: int, gram: int):
             owners, rows = [], []
             for t in range(i, j):
                 before = len(rows)
-                rows += text_regions(raw[at[t]:at[t + 1]], length, gram)
+                rows += _all_regions(raw[at[t]:at[t + 1]], length, gram)
                 owners += [t] * (len(rows) - before)
             if rows:
                 fp, prints, windows, lead, start = zip(*rows)
@@ -238,7 +248,8 @@ def repeated_spans(
         F.min(F.struct("id_key", "text_key", "start")).alias("at"),
     )
     regions = written(regions, "regions")
-    kinds = regions.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"))
+    # Written, so that the join shuffles both sides and an anchor with many regions is split.
+    kinds = written(regions.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
     told = regions.join(kinds, "fp")
     whole = told.where("kinds = 1").select(
         *_REGION, F.lit(0).alias("first"), (F.col("windows") - 1).alias("last")

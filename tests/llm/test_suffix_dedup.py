@@ -36,6 +36,13 @@ def test_removed_bytes_match_brute_force(spark, length, gram, most_regions):
     assert sorted(map(str, rows)) == sorted(map(str, brute(TEXTS, length)))
 
 
+def test_long_texts_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(m, "TEXT_BYTES", 70)
+    got = m.without_repeats(documents(spark, TEXTS), length=60, gram=9).collect()
+    rows = [(*r[:4], hashlib.sha256(r["kept"]).hexdigest()) for r in got]
+    assert sorted(map(str, rows)) == sorted(map(str, brute(TEXTS, 60)))
+
+
 def test_texts_keep_whole_characters(spark):
     rows = [(1, "ä" * 3 + SHARED), (2, "Ă" * 3 + SHARED), (3, None), (4, prose(9, 9))]
     docs = documents(spark, rows)
