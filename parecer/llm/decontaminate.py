@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from parecer.llm.storage import small_batches
+from parecer.llm.storage import small_batches, written
 from parecer.llm.words import PLAIN_WORDS, U, Words, batches_of, blocks, text_bytes
 
 WINDOW = 10
@@ -241,16 +241,21 @@ def _search(batches, phrases: Phrases, kind: pa.DataType, shard_words: int):
         yield send(shard)
 
 
-def _passes(benchmark: DataFrame, pass_bytes: int):
-    """The benchmark's items in lists of bounded size; items without id are no items."""
+def _passes(benchmark: DataFrame, pass_bytes: int) -> list[DataFrame]:
+    """The benchmark's items in tables of bounded size; items without id are no items."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(
         "item is not null and text is not null"
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + size // pass_bytes
-    for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
-        yield [tuple(r) for r in mine.distinct().collect()]
+    return [
+        items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).distinct()
+        for part in range(parts)
+    ]
+
+
+def _collected(items: DataFrame) -> list[tuple]:
+    return [tuple(r) for r in items.collect()]
 
 
 def contamination(
@@ -267,7 +272,7 @@ def contamination(
     beyond ``pass_bytes`` is searched in several passes, whose spans are joined by row.
     """
     small_batches(documents.sparkSession)
-    lists = list(_passes(benchmark, pass_bytes))
+    lists = [_collected(items) for items in _passes(benchmark, pass_bytes)]
     search = partial(_searched, window=window, shard_words=shard_words)
     if len(lists) == 1:
         return search(documents.select(key, "text"), key, lists[0])
@@ -305,6 +310,22 @@ def hit_words():
     )
 
 
+def _without(data: bytes, spans: list[dict]) -> str:
+    """A text without its spans; those that overlap or meet, of other passes, are cut as one."""
+    ends: list[list[int]] = []
+    for s in sorted(spans, key=lambda s: s["word"]):
+        words, end = s["word"] + s["words"], s["byte"] + s["bytes"]
+        if ends and s["word"] <= ends[-1][0]:
+            ends[-1][0], ends[-1][2] = max(words, ends[-1][0]), max(end, ends[-1][2])
+        else:
+            ends.append([words, s["byte"], end])
+    out, last = [], 0
+    for _, start, end in ends:
+        out.append(data[last:start])
+        last = end
+    return b"".join([*out, data[last:]]).decode()
+
+
 def _strip(batches, phrases: Phrases):
     """Whole rows again, with the spans cut from the texts."""
     for batch in batches:
@@ -317,25 +338,57 @@ def _strip(batches, phrases: Phrases):
             shard.add(Words(raw, at[i:j + 1], PLAIN_WORDS, lower=True), [(t,) for t in range(i, j)])
             for t, _, spans, _ in shard.results() if shard.runs else ():
                 if spans:
-                    data, out, last = raw[at[t]:at[t + 1]].tobytes(), [], 0
-                    for s in spans:
-                        out.append(data[last:s["byte"]])
-                        last = s["byte"] + s["bytes"]
-                    texts[t] = b"".join([*out, data[last:]]).decode()
+                    texts[t] = _without(raw[at[t]:at[t + 1]].tobytes(), spans)
         columns = list(batch.columns)
         columns[place] = pa.array(texts, pa.string())
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
+def _cut(batches):
+    """Whole rows without their last column, the spans, which are cut from the texts."""
+    for batch in batches:
+        raw, at = batches_of(batch, "text")
+        place = batch.schema.get_field_index("text")
+        columns = list(batch.columns)
+        texts = columns[place].to_pylist()
+        for t, spans in enumerate(columns.pop().to_pylist()):
+            if spans:
+                texts[t] = _without(raw[at[t]:at[t + 1]].tobytes(), spans)
+        columns[place] = pa.array(texts, pa.string())
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+
 def decontaminated(
-    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES
+    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES,
+    shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
     """``documents`` with every occurrence of a benchmark window cut from ``text``; all rows
-    and all other columns stay, and so does a null text."""
+    and all other columns stay, and so does a null text. Every pass of a benchmark beyond
+    ``pass_bytes`` searches the texts as given; its spans are written, and what all passes
+    found in a text is cut at once."""
     small_batches(documents.sparkSession)
     names = [f"c{i}" for i in range(len(documents.columns))]
     names[documents.columns.index("text")] = "text"
     now = documents.toDF(*names)
-    for items in _passes(benchmark, pass_bytes):
-        now = now.mapInArrow(partial(_strip, phrases=Phrases(items, window)), now.schema)
-    return now.toDF(*documents.columns)
+    passes = _passes(benchmark, pass_bytes)
+    if len(passes) == 1:
+        strip = partial(_strip, phrases=Phrases(_collected(passes[0]), window))
+        return now.mapInArrow(strip, now.schema).toDF(*documents.columns)
+    digest = F.sha2(F.col("text").cast("binary"), 256).alias("digest")
+    texts = now.where("text is not null").select(digest, "text")
+    parts = [
+        written(
+            _searched(texts, "digest", _collected(items), window, shard_words)
+            .where("size(spans) > 0")
+            .select("digest", "spans"),
+            "benchmark-spans",
+        )
+        for items in passes
+    ]
+    found = (
+        reduce(DataFrame.unionByName, parts)
+        .groupBy("digest")
+        .agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    )
+    marked = now.select("*", digest).join(found, "digest", "left").select(*names, "spans")
+    return marked.mapInArrow(_cut, now.schema).toDF(*documents.columns)

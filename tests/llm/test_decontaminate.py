@@ -51,6 +51,24 @@ def test_passages_are_cut(spark):
     assert m.contamination(kept, benchmark).where("size(items) > 0").count() == 0
 
 
+def test_passes_cut_what_one_pass_cuts(spark):
+    # Windows of different passes overlap, meet, and would arise at the seam of a cut.
+    own = prose(7, 45).split()
+    items = [(i, " ".join(own[i:i + 10])) for i in range(0, 36, 5)]
+    items += [(90, " ".join(own[:6] + own[36:])), (91, " ".join(own[20:30]))]
+    texts = TEXTS + [
+        (60, prose(8, 20) + " " + " ".join(own) + ", " + prose(9, 20)), (61, " ".join(own[3:21])),
+        (62, " ".join(own[:6] + own[10:20] + own[36:])), (None, " ".join(own)), (60, " ".join(own)),
+    ]
+    benchmark = spark.createDataFrame(ITEMS + items, "item_id long, text string")
+    docs = documents(spark, texts)
+    one, more = m.decontaminated(docs, benchmark), m.decontaminated(docs, benchmark, pass_bytes=100)
+    assert more.schema == docs.schema
+    assert sorted(map(str, more.collect())) == sorted(map(str, one.collect()))
+    assert {r["text"] for r in more.where("doc_id = 60").collect()} == {
+        "", prose(8, 20) + " , " + prose(9, 20)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert m.contamination(documents(spark, []), none).collect() == []
