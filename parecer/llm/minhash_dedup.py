@@ -251,21 +251,15 @@ def _across(open_buckets: DataFrame, reps: DataFrame, percent: int, groups: int,
     return met.select("a", "b")
 
 
-def near_duplicates(
-    documents: DataFrame,
-    shingle: int = SHINGLE,
-    percent: int = PERCENT,
-    groups: int = GROUPS,
-    rows: int = ROWS,
-) -> DataFrame:
-    """One row per row of ``documents``: doc_id, text_key, n_shingles, component_id, kept.
+#: What equal sets of shingles share: a class.
+_ONE_SET = ["n_shingles", "set_a", "set_b"]
 
-    Documents are linked if their sets of ``shingle``-word shingles have a Jaccard similarity
-    of at least ``percent`` in a hundred; a component's id is its smallest doc_id. A text
-    without words, empty or null, has no shingles and is linked with nothing. Rows with equal
-    sets are one class before any search, so exact copies never make pairs. A repeated row is
-    in its twin's component and both rows are returned; a row without doc_id takes its class's
-    component. Other columns, whatever their names, are not read. An empty table gives none.
+
+def _placed(
+    documents: DataFrame, shingle: int, percent: int, groups: int, rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and each class with its first row (``rep``, ``rep_text``; rows without
+    doc_id come last) and the component it belongs to.
 
     Links are found in three rounds. First each class is compared with one other, the one met
     most amid those it shares a key with. Then those in buckets of more than one component are
@@ -280,18 +274,17 @@ def near_duplicates(
         texts.mapInArrow(partial(_sign, size=shingle, groups=groups, rows=rows), _SIGNED),
         "signatures",
     )
-    one_set = ["n_shingles", "set_a", "set_b"]
     reps = written(
         signed.where("n_shingles > 0")
-        .groupBy(*one_set)
+        .groupBy(*_ONE_SET)
         .agg(
             F.min(
                 F.struct((F.col("id_key") == NO_ID).alias("nameless"), "id_key", "text_key",
                          "bits_a", "bits_b", "marks", "bands")
             ).alias("r")
         )
-        .select(*one_set, F.col("r.id_key").alias("rep"), F.col("r.text_key").alias("rep_text"),
-                F.xxhash64(*one_set).alias("id"), "r.bits_a", "r.bits_b", "r.marks", "r.bands"),
+        .select(*_ONE_SET, F.col("r.id_key").alias("rep"), F.col("r.text_key").alias("rep_text"),
+                F.xxhash64(*_ONE_SET).alias("id"), "r.bits_a", "r.bits_b", "r.marks", "r.bands"),
         "classes",
     )
     keys = tensor_keys(reps, groups)
@@ -342,17 +335,36 @@ def near_duplicates(
     rest = written(verified(_across(mixed, reps, percent, groups, n_bits), sets, percent), "links")
     if not rest.isEmpty():
         labels = connected_components(links.union(rest))
-    placed = reps.select("id", "rep", *one_set).join(labels, "id", "left").withColumn(
-        "component", F.coalesce("component", "id")
-    )
+    return signed, reps.select("id", "rep", "rep_text", *_ONE_SET).join(
+        labels, "id", "left"
+    ).withColumn("component", F.coalesce("component", "id"))
+
+
+def near_duplicates(
+    documents: DataFrame,
+    shingle: int = SHINGLE,
+    percent: int = PERCENT,
+    groups: int = GROUPS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """One row per row of ``documents``: doc_id, text_key, n_shingles, component_id, kept.
+
+    Documents are linked if their sets of ``shingle``-word shingles have a Jaccard similarity
+    of at least ``percent`` in a hundred; a component's id is its smallest doc_id. A text
+    without words, empty or null, has no shingles and is linked with nothing. Rows with equal
+    sets are one class before any search, so exact copies never make pairs. A repeated row is
+    in its twin's component and both rows are returned; a row without doc_id takes its class's
+    component. Other columns, whatever their names, are not read. An empty table gives none.
+    """
+    signed, placed = _placed(documents, shingle, percent, groups, rows)
     # Components are named by their smallest doc_id; classes of rows without one come last.
     named = placed.groupBy("component").agg(
         F.min(F.when(F.col("rep") > NO_ID, F.col("rep"))).alias("component_id")
     )
-    classes = placed.join(named, "component").select(*one_set, "component_id")
+    classes = placed.join(named, "component").select(*_ONE_SET, "component_id")
     missing = F.col("id_key") == NO_ID
     doc_id = F.when(~missing, F.col("id_key"))
-    found = signed.select("id_key", "text_key", *one_set).join(classes, one_set, "left")
+    found = signed.select("id_key", "text_key", *_ONE_SET).join(classes, _ONE_SET, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(doc_id)
     return found.select(
         doc_id.alias("doc_id"), "text_key", "n_shingles", component.alias("component_id"),
@@ -360,11 +372,27 @@ def near_duplicates(
     )
 
 
-def one_of_each_group(documents: DataFrame, **settings) -> DataFrame:
-    """The rows of ``documents`` that stay: one of every component of near-duplicates."""
-    kept = near_duplicates(documents, **settings).where("kept").select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("id_key"), "text_key"
+def one_of_each_group(
+    documents: DataFrame,
+    shingle: int = SHINGLE,
+    percent: int = PERCENT,
+    groups: int = GROUPS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """The rows of ``documents`` that stay: one of every component of near-duplicates.
+
+    It is the row with the smallest doc_id, also where ids are missing or shared: rows without
+    doc_id come last, and among equal ids the smaller text_key decides. Texts without words
+    are in no component and stay; of equal ones with the same doc_id, or none, one stays.
+    """
+    signed, placed = _placed(documents, shingle, percent, groups, rows)
+    first = placed.groupBy("component").agg(
+        F.min(F.struct((F.col("rep") == NO_ID).alias("nameless"), "rep", "rep_text")).alias("r")
     )
+    wordless = signed.where("n_shingles = 0").select("id_key", "text_key").distinct()
+    kept = first.select(
+        F.col("r.rep").alias("id_key"), F.col("r.rep_text").alias("text_key")
+    ).union(wordless)
     id_key, text_key = identity()
     columns = documents.columns
     keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),

@@ -57,6 +57,28 @@ def test_one_of_each_group_stays(spark):
     assert set(got) - {None} == want - {None} and len(got) == len(set(got))
 
 
+def test_one_stays_without_ids_and_with_shared_ids(spark):
+    def loud(text):
+        return "".join(c.upper() if c.isascii() else c for c in text)
+
+    texts = [
+        (None, BASE[0]), (None, BASE[0]), (None, loud(BASE[0])), (None, BASE[0] + "\n"),
+        (None, edited(1, BASE[0], 1)), (None, edited(2, BASE[0], 1)),
+        (7, BASE[1]), (7, edited(3, BASE[1], 1)), (8, edited(4, BASE[1], 1)), (None, BASE[1]),
+        (7, BASE[2]), (None, BASE[3]), (9, loud(BASE[3])), (None, None), (None, None), (10, ""),
+    ]
+    kept = [tuple(r) for r in
+            m.one_of_each_group(documents(spark, texts)).select("doc_id", "text").collect()]
+
+    def of(base):
+        words = set(lower(base).split())
+        return [row for row in kept if len(words & set(lower(row[1]).split())) > 50]
+
+    assert [len(of(base)) for base in BASE] == [1] * 4 and len(kept) == 6
+    assert [of(base)[0][0] for base in BASE] == [None, 7, 7, 9]
+    assert (None, None) in kept and (10, "") in kept
+
+
 def test_empty_table(spark):
     assert m.near_duplicates(documents(spark, [])).collect() == []
 
