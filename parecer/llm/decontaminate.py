@@ -242,14 +242,15 @@ def _search(batches, phrases: Phrases, kind: pa.DataType, shard_words: int):
 
 
 def _passes(benchmark: DataFrame, pass_bytes: int) -> list[DataFrame]:
-    """The benchmark's items in tables of bounded size; items without id are no items."""
+    """The benchmark's items in tables of about ``pass_bytes``, none of them collected yet; an
+    id's texts are dealt out too. Items without id are no items."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(
         "item is not null and text is not null"
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + size // pass_bytes
     return [
-        items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).distinct()
+        items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).distinct()
         for part in range(parts)
     ]
 
@@ -272,18 +273,27 @@ def contamination(
     beyond ``pass_bytes`` is searched in several passes, whose spans are joined by row.
     """
     small_batches(documents.sparkSession)
-    lists = [_collected(items) for items in _passes(benchmark, pass_bytes)]
+    passes = _passes(benchmark, pass_bytes)
     search = partial(_searched, window=window, shard_words=shard_words)
-    if len(lists) == 1:
-        return search(documents.select(key, "text"), key, lists[0])
+    if len(passes) == 1:
+        return search(documents.select(key, "text"), key, _collected(passes[0]))
     rows = documents.select(key, F.xxhash64(F.col(key), F.col("text")).alias("row_key"), "text")
-    parts = [search(rows.select("row_key", "text"), "row_key", items) for items in lists]
+    # Each pass is written before the next is collected; rows without hits come from the first.
+    parts = [
+        written(
+            search(rows.select("row_key", "text"), "row_key", _collected(items)).where(
+                F.lit(k == 0) | (F.size("items") > 0)
+            ),
+            "benchmark-hits",
+        )
+        for k, items in enumerate(passes)
+    ]
     joined = (
         reduce(DataFrame.unionByName, parts)
         .groupBy("row_key", "n_words")
         .agg(
-            F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         )
     )
     return rows.select(key, "row_key").join(joined, "row_key").drop("row_key")

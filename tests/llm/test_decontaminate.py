@@ -69,6 +69,33 @@ def test_passes_cut_what_one_pass_cuts(spark):
         "", prose(8, 20) + " , " + prose(9, 20)}
 
 
+def test_passes_are_bounded_and_made_one_by_one(spark, monkeypatch):
+    hot = [(1, prose(100 + i, 20)) for i in range(60)]
+    benchmark = spark.createDataFrame(hot, "item_id long, text string")
+    steps, sizes = [], []
+    collected, written = m._collected, m.written
+
+    def collect(items):
+        got = collected(items)
+        steps.append("collect")
+        sizes.append(sum(len(text.encode()) for _, text in got))
+        return got
+
+    def write(df, name):
+        steps.append("write")
+        return written(df, name)
+
+    monkeypatch.setattr(m, "_collected", collect)
+    monkeypatch.setattr(m, "written", write)
+    texts = [(1, hot[0][1]), (2, hot[41][1] + " x"), (3, "none of it"), (2, hot[41][1] + " x")]
+    found = m.contamination(documents(spark, texts), benchmark, pass_bytes=2000)
+    assert steps == ["collect", "write"] * len(sizes) and len(sizes) > 1
+    assert max(sizes) < 2 * 2000
+    got = found.select("doc_id", "n_words", m.hit_words(), "items").collect()
+    assert sorted(map(tuple, got))[::3] == [(1, 20, 20, ["1"]), (3, 3, 0, [])]
+    assert all(tuple(r) == (2, 21, 20, ["1"]) for r in got if r["doc_id"] == 2)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert m.contamination(documents(spark, []), none).collect() == []
