@@ -380,7 +380,7 @@ def left_join_top_payment(t: Tables) -> DataFrame:
 @query
 def map_lookup(t: Tables) -> DataFrame:
     """The late rate of categories with enough orders, 0 for the others."""
-    rates = risk.category_rates(_category_stats(t), k=1000).select("category", "delay_rate")
+    rates = risk.category_gaps(_category_stats(t)).select("category", "delay_rate")
     named = t["category_trans"].select(F.col("product_category_name_english").alias("category"))
     return orders.map_lookup(named, rates, "category", "delay_rate", "delay_rate_or_0")
 

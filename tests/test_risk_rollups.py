@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 
 from parecer.operators import risk, rollups
+from parecer.plans import catalog
 from tests.conftest import order, rows
 
 
@@ -162,3 +163,16 @@ def test_dashboard_queries(delivered):
     quadrants = {r["product_category_name_english"]: r["quadrant"]
                  for r in rollups.dash_risk_matrix(categories).collect()}
     assert quadrants["baby"] == "late/bad"
+
+
+def test_map_lookup_has_no_top_k(spark, monkeypatch):
+    n = 1003
+    stats = spark.range(n).selectExpr(
+        "format_string('c%04d', id) as category", "100L as orders", "id % 7 + 1 as delayed_orders",
+        "1L as bad_orders", "cast(id % 7 + 1 as double) as delay_rate", "1.0D as bad_rate",
+        "5.0D as avg_gmv",
+    )
+    monkeypatch.setattr(catalog, "_category_stats", lambda t: stats)
+    named = stats.selectExpr("category as product_category_name_english")
+    found = catalog.map_lookup({"category_trans": named}).collect()
+    assert len(found) == n and all(r["delay_rate_or_0"] > 0 for r in found)
