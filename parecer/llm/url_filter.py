@@ -3,7 +3,7 @@ canonical address, are aliases, and a decision on one of them holds for all."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
@@ -94,10 +94,15 @@ def alias_links(pages: DataFrame) -> DataFrame:
     """``url`` and ``target`` of every canonical link and refresh in the pages' markup."""
     some = F.lower("html").contains("canonical") | F.lower("html").contains("refresh")
     shown = pages.where(some).select("url", F.regexp_replace("html", _HIDDEN, " ").alias("h"))
-    canonical = F.regexp_extract("h", _CANONICAL, 0)
-    href = F.concat(*[F.regexp_extract(canonical, _HREF, k) for k in (1, 2, 3)])
-    refresh = F.regexp_extract(F.regexp_extract("h", _REFRESH, 0), _TO, 1)
-    return shown.select("url", F.explode(F.array(href, refresh)).alias("link")).select(
+
+    def links(pattern: str, target: Callable[[Column], Column]) -> Column:
+        return F.transform(F.regexp_extract_all("h", F.lit(pattern), F.lit(0)), target)
+
+    href = links(
+        _CANONICAL, lambda tag: F.concat(*[F.regexp_extract(tag, _HREF, k) for k in (1, 2, 3)])
+    )
+    refresh = links(_REFRESH, lambda tag: F.regexp_extract(tag, _TO, 1))
+    return shown.select("url", F.explode(F.concat(href, refresh)).alias("link")).select(
         "url", _absolute(F.col("link"), F.col("url")).alias("target")
     ).where("target is not null")
 

@@ -74,3 +74,17 @@ def test_redirects_and_long_chains(spark):
 
 def test_empty_table(spark):
     assert m.judged(pages(spark, [])).collect() == []
+
+
+def test_every_link_of_a_page_counts(spark):
+    refresh = '<meta http-equiv=refresh content="0; url={}">'
+    rows = [
+        (1, "http://a.net/", canonical("http://b.net/") + canonical("http://x.com/de/")),
+        (2, "http://c.net/", refresh.format("http://d.net/") + refresh.format("http://x.com/de/")),
+        (3, "http://b.net/", None), (4, "http://d.net/", None),
+    ]
+    links = m.alias_links(pages(spark, rows)).collect()
+    assert sorted(r["target"] for r in links) == [
+        "http://b.net/", "http://d.net/", "http://x.com/de/", "http://x.com/de/"]
+    got = verdicts(m.judged(pages(spark, rows)))
+    assert [got[i][3] for i in (1, 2, 3, 4)] == ["block"] * 4
