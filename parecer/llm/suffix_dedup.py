@@ -289,7 +289,7 @@ def repeated_spans(
                 F.struct((F.col("start") + F.col("first")).alias("a"),
                          (F.col("start") + F.col("last") + length).alias("b")).alias("span"))
         .groupBy("id_key", "text_key")
-        .agg(F.collect_list("span").alias("spans"))
+        .agg(F.collect_set("span").alias("spans"))
     )
 
 

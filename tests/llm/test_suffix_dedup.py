@@ -56,3 +56,12 @@ def test_texts_keep_whole_characters(spark):
 
 def test_empty_table(spark):
     assert m.without_repeats(documents(spark, [])).collect() == []
+
+
+def test_repeated_rows_collect_each_span_once(spark):
+    rows = [(None, SHARED + OTHER)] * 6 + [(1, SHARED[:300] + prose(9, 30))]
+    found = m.repeated_spans(documents(spark, rows).repartition(3), length=120).collect()
+    assert len(found) == 2
+    for r in found:
+        spans = [(s["a"], s["b"]) for s in r["spans"]]
+        assert len(spans) == len(set(spans))
