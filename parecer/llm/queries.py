@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from parecer.llm import (
     chat,
     decontaminate,
+    hard_negatives,
     license_scan,
     minhash_dedup,
+    mixing,
     packing,
+    periodic_runs,
     quality_rules,
     quality_votes,
     sharding,
@@ -126,6 +129,52 @@ def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(table(spark, folder, "documents"))
+
+
+#: Texts of every tenth doc_id repeat their words from some place on with some period.
+MADE_PERIODIC = r"""SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN array_join(transform(
+    sequence(0, n - 1), i -> words[if(i < g % n, i,
+      g % n + (i - g % n) % (1 + (n - g % n) div (3 + g % 8)))]), ' ') ELSE text END AS text
+  FROM (SELECT *, h div 10 AS g, cast(size(words) AS bigint) AS n
+    FROM (SELECT *, CASE WHEN h % 10 = 0 THEN regexp_extract_all(
+        coalesce(text, ''), r'[^\x20\x09-\x0D]+', 0) END AS words
+      FROM (SELECT doc_id, text, crc32(cast(cast(doc_id AS string) AS binary)) AS h
+        FROM {documents})))"""
+_GREATEST_EXPONENT = """aggregate(runs, cast(null AS struct<start: long, length: long,
+  period: long>), (best, r) -> if(best IS NULL OR r.length * best.period > best.length * r.period,
+  r, best))"""
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    texts = spark.sql(MADE_PERIODIC, documents=documents)
+    told = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]),
+                                   F.lit("\n"))
+    )
+    return (
+        periodic_runs.periodic_runs(texts)
+        .withColumn("best", F.expr(_GREATEST_EXPONENT))
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            "best.start", "best.length", "best.period",
+            F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+            F.sha2(F.array_join(told, "").cast("binary"), 256).alias("runs_sha256"),
+            F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        )
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    vectors = table(spark, folder, "embeddings").withColumn("label", moved)
+    return hard_negatives.hard_negatives(vectors, vec_id % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
@@ -137,6 +186,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_url_filter": op9_url_filter,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_mixing": op11_mixing,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _LOWER = (
@@ -144,6 +196,7 @@ _LOWER = (
 )
 _PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _BLANK = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+_AS_WRITTEN = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 def _escaped(text: str) -> str:
@@ -208,4 +261,100 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id,
           component_id = d.doc_id AS kept
         FROM d JOIN least_one ON node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op11_mixing": f"""
+        WITH d AS (SELECT doc_id, source, len({_AS_WRITTEN}) AS size FROM documents),
+        g AS (SELECT source, doc_id, size, COUNT(*) AS copies FROM d GROUP BY ALL),
+        s AS (SELECT *, {mixing.MOST_COPIES} * source_size AS most,
+                {list(mixing.WEIGHTS)}[k % {len(mixing.WEIGHTS)} + 1] AS weight
+              FROM (SELECT source, CAST(SUM(size * copies) AS BIGINT) AS source_size,
+                      CAST(SUM(CAST(size AS HUGEINT) * size * copies) AS DOUBLE) AS squares,
+                      row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k
+                    FROM g GROUP BY source)),
+        levels AS (SELECT any_value(a.most / a.weight) AS most_each,
+                     any_value(total) - coalesce(SUM(b.most) FILTER (b.most / b.weight
+                       < a.most / a.weight), 0) AS shared,
+                     SUM(b.weight) FILTER (b.most / b.weight >= a.most / a.weight) AS weights
+                   FROM s a, s b, (SELECT {mixing.GROWTH} * SUM(source_size) AS total FROM s)
+                   GROUP BY a.k),
+        level AS (SELECT shared, weights FROM levels WHERE shared / weights <= most_each
+                  ORDER BY most_each LIMIT 1),
+        t AS (SELECT *, least(shared * weight / weights, most) AS target FROM s, level),
+        w AS (SELECT *, least({mixing.MOST_COPIES}, coalesce(floor(target / nullif(source_size, 0)), 0)) AS whole
+              FROM t),
+        c AS (SELECT g.*, source_size, target, whole, due,
+                CASE WHEN due > 0 AND size > 0 THEN due * size / squares END AS share,
+                (CAST('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':'
+                  || size), 1, 12) AS BIGINT) + 0.5) / 281474976710656 AS chance
+              FROM g JOIN (SELECT *, target - whole * source_size AS due FROM w) x
+                ON g.source IS NOT DISTINCT FROM x.source),
+        o AS (SELECT *, coalesce(share >= 1, FALSE) AS certain, CASE WHEN share < 1 THEN
+                ln(chance / (1 - chance)) - ln(share / (1 - share)) END AS odds FROM c),
+        r AS (SELECT *, SUM(size * copies) OVER (PARTITION BY source
+                ORDER BY certain DESC, odds, doc_id NULLS FIRST, size
+                ROWS UNBOUNDED PRECEDING) - size * copies AS before
+              FROM o WHERE share IS NOT NULL),
+        n AS (SELECT o.*, CASE WHEN o.certain THEN o.copies ELSE coalesce(least(o.copies,
+                greatest(0, floor((o.due - before) / o.size + 0.5))), 0) END AS drawn
+              FROM o LEFT JOIN r ON o.source IS NOT DISTINCT FROM r.source
+                AND o.doc_id IS NOT DISTINCT FROM r.doc_id AND o.size = r.size)
+        SELECT doc_id, size, source_size, target,
+          CAST((whole + CASE WHEN i < drawn THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+        FROM n, unnest(range(copies)) AS u(i)""",
+    "op12_periodic_runs": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_AS_WRITTEN} AS w FROM documents),
+        h AS (SELECT r, list_reduce([4294967295] || [CAST(ord(x) AS BIGINT)
+                FOR x IN string_split(CAST(doc_id AS VARCHAR), '')],
+                lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                  lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS c
+              FROM d WHERE doc_id IS NOT NULL),
+        g AS (SELECT d.r, doc_id, w, len(w) AS n, xor(c, 4294967295) % 10 AS h0,
+                xor(c, 4294967295) // 10 AS g FROM d LEFT JOIN h ON d.r = h.r),
+        a AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM g),
+        v AS (SELECT r, doc_id, n, CASE WHEN h0 = 0 AND n > 0 THEN
+                [w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1] FOR i IN range(n)]
+                ELSE w END AS w FROM a),
+        k AS (SELECT r, i, w[i + 1] AS s, n FROM v, unnest(range(n)) AS t(i)),
+        same AS (SELECT x.r, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.r = y.r AND x.s = y.s
+                 AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        islands AS (SELECT r, q, MIN(i) AS start, COUNT(*) + q AS length
+                    FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS o
+                          FROM same) GROUP BY r, q, o),
+        long AS (SELECT * FROM islands WHERE length >= greatest({periodic_runs.LEAST_WORDS},
+                 {periodic_runs.LEAST_EXPONENT} * q)),
+        runs AS (SELECT r, start, length, q FROM long WHERE NOT EXISTS (FROM islands b
+                 WHERE b.r = long.r AND b.q < long.q AND b.start <= long.start
+                   AND b.start + b.length >= long.start + long.length)),
+        told AS (SELECT r, COUNT(*) AS n_runs, string_agg(start || ',' || length || ',' || q
+                   || chr(10), '' ORDER BY start, q) AS s,
+                   list({{'start': start, 'length': length, 'period': q}}
+                     ORDER BY length / q DESC, start, q)[1] AS best
+                 FROM runs GROUP BY r),
+        gone AS (SELECT DISTINCT r, i FROM runs, unnest(range(start + q, start + length)) AS t(i)),
+        left_over AS (SELECT r, string_agg(s, ' ' ORDER BY i) AS s
+                      FROM k WHERE NOT EXISTS (FROM gone WHERE gone.r = k.r AND gone.i = k.i)
+                      GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length,
+          best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+          sha256(coalesce(told.s, '')) AS runs_sha256,
+          sha256(coalesce(left_over.s, '')) AS collapsed_sha256
+        FROM v LEFT JOIN told ON told.r = v.r LEFT JOIN left_over ON left_over.r = v.r""",
+    "op13_hard_negatives": f"""
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                     [floor({hard_negatives.SCALE} * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        scores AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label,
+                     CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+                   FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+                      FROM scores WHERE own = label QUALIFY row_number() OVER (
+                        PARTITION BY anchor_id ORDER BY score DESC, vec_id)
+                        <= {hard_negatives.POSITIVES})
+        SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id
+            ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score,
+          score AS negative_score
+        FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND own <> label
+          AND {hard_negatives.LOWEST} * positive_score <= 100 * score
+          AND 100 * score <= {hard_negatives.HIGHEST} * positive_score
+        QUALIFY rank <= {hard_negatives.NEGATIVES}""",
 }
