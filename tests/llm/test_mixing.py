@@ -71,8 +71,8 @@ def test_mix(spark):
 
 
 def test_long_documents_are_likelier(spark):
-    rows = [(i, "w " * (5 if i % 2 else 50), "b") for i in range(2000)]
-    rows += [(2000, "w " * 60_000, "a"), (2001, "w " * 60_000, "c")]
+    rows = [(i, "w " * (5 if i % 2 else 50), "c") for i in range(2000)]
+    rows += [(2000, "w " * 60_000, "a"), (2001, "w " * 100_000, "b")]
     got = [r for r in m.mixed(table(spark, rows)).collect() if r["doc_id"] < 2000]
     assert 1.1 < got[0]["target"] / got[0]["source_size"] < 1.3
     extra = Counter(r["size"] for r in got if r["taken"] == 2 * r["size"])
