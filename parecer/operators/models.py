@@ -1,13 +1,16 @@
-"""Logistic models of a bad review, fitted by Spark ML."""
+"""Logistic models of a bad review, fitted by Newton steps on sums over the rows."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The features in their order, each with the unit its phrase names.
@@ -35,15 +38,17 @@ def features(facts: DataFrame) -> DataFrame:
     return facts.select("order_id", *numbers, credit.alias("pay_type_credit"), "is_bad")
 
 
+def _moment_columns(columns: Sequence[str]) -> list[Column]:
+    return [F.avg(c).alias(f"mean_{c}") for c in columns] + [
+        F.stddev_pop(c).alias(f"std_{c}") for c in columns
+    ]
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean and population standard deviation per column, in one pass: (column, mean, std).
 
     A column that never varies gets 1, so that dividing leaves it at 0.
     """
-    one_row = df.agg(
-        *[F.avg(c).alias(f"mean_{c}") for c in columns],
-        *[F.stddev_pop(c).alias(f"std_{c}") for c in columns],
-    )
     rows = [
         F.struct(
             F.lit(c).alias("column"),
@@ -52,7 +57,7 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
         for c in columns
     ]
-    return one_row.select(F.inline(F.array(*rows)))
+    return df.agg(*_moment_columns(columns)).select(F.inline(F.array(*rows)))
 
 
 def _scaled(df: DataFrame, columns: Sequence[str], scale: dict) -> DataFrame:
@@ -73,38 +78,89 @@ def standardize(df: DataFrame, columns: Sequence[str] = tuple(FEATURES)) -> Data
     return _scaled(df, columns, _scale(df, columns))
 
 
+@dataclass
+class Logit:
+    """Coefficients by column and the intercept; the number of passes over the rows."""
+
+    coefficients: dict[str, float]
+    intercept: float
+    passes: int
+
+
+def _sums(df: DataFrame, x: Mapping[str, Column], label: Column, weight: Column, point) -> tuple:
+    """Loss, gradient and Hessian at a point, from one aggregate over the rows."""
+    ones = [F.lit(1.0), *x.values()]
+    z = reduce(add, (F.lit(float(w)) * c for w, c in zip(point, ones)))
+    # Both parts are taken where the exponential is at most 1.
+    small = F.exp(-F.abs("z"))
+    p = F.when(F.col("z") >= 0, 1 / (1 + small)).otherwise(small / (1 + small))
+    names = [f"x{i}" for i in range(len(x))]
+    rows = df.select(
+        z.alias("z"), label.cast("double").alias("y"), weight.alias("n"),
+        *[c.alias(n) for c, n in zip(x.values(), names)],
+    ).withColumn("p", p)
+    loss = F.sum(F.col("n") * (F.log1p(small) + F.greatest("z", F.lit(0.0)) - F.col("y") * F.col("z")))
+    off, spread = F.col("n") * (F.col("p") - F.col("y")), F.col("n") * F.col("p") * (1 - F.col("p"))
+    columns = [F.lit(1.0), *map(F.col, names)]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    found = rows.agg(
+        loss,
+        *[F.sum(off * c) for c in columns],
+        *[F.sum(spread * columns[i] * columns[j]) for i, j in pairs],
+    ).first()
+    size = len(columns)
+    hessian = np.zeros((size, size))
+    for (i, j), value in zip(pairs, found[1 + size:]):
+        hessian[i, j] = hessian[j, i] = value
+    return found[0], np.array(found[1:1 + size]), hessian
+
+
 def fit_logit(
     df: DataFrame,
-    columns: Sequence[str],
+    columns: Mapping[str, Column] | Sequence[str],
     label: str,
     c: float = 1.0,
-    max_iter: int = 1000,
+    max_iter: int = 100,
     weight: str | None = None,
-    n: float | None = None,
-) -> LogisticRegressionModel:
+    tolerance: float = 1e-9,
+) -> Logit:
     """Logistic regression with penalty ½‖w‖² against c·Σ loss, intercept not penalised.
 
-    Spark averages the loss over the rows, so the penalty is divided by c·n; ``n`` is counted
-    if it is not given.
+    Every pass is one aggregate, which gives the loss, its gradient and its Hessian; the step
+    that they tell is solved on the driver, on one number per pair of columns. A step that does
+    not lower the loss is halved. ``columns`` are names, or names with the expression to use.
+    Without both outcomes the coefficients are 0 and the intercept is infinite, as the loss
+    then has no least value; without rows it is 0.
     """
-    if n is None:
-        n = df.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
-    model = LogisticRegression(
-        featuresCol="features",
-        labelCol=label,
-        regParam=1.0 / (c * float(n)),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=1e-8,
-    )
-    if weight:
-        model = model.setWeightCol(weight)
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(df)
-    return model.fit(assembled)
+    x = columns if isinstance(columns, Mapping) else {n: F.col(n) for n in columns}
+    n = F.col(weight) if weight else F.lit(1.0)
+    point = np.zeros(len(x) + 1)
+    step = np.zeros(len(x) + 1)
+    penalty = np.append(0.0, np.ones(len(x)))
+    least, passes = math.inf, 0
+    while passes < max_iter:
+        loss, gradient, hessian = _sums(df, x, F.col(label), n, point)
+        passes += 1
+        if passes == 1 and (loss is None or abs(gradient[0]) >= 2 * hessian[0, 0] * (1 - 1e-12)):
+            # At 0 every row has probability one half: all rows on one side.
+            sign = 0.0 if loss is None else -math.copysign(math.inf, gradient[0])
+            return Logit(dict.fromkeys(x, 0.0), sign, passes)
+        loss = c * loss + 0.5 * float(penalty @ point**2)
+        if loss > least + 1e-12 * abs(least) and np.abs(step).max() > tolerance:
+            step = step / 2
+            point = point - step
+            continue
+        least = loss
+        step = -np.linalg.solve(
+            c * hessian + np.diag(penalty), c * gradient + penalty * point
+        )
+        point = point + step
+        if np.abs(step).max() <= tolerance:
+            break
+    return Logit(dict(zip(x, point[1:].tolist())), float(point[0]), passes)
 
 
-def odds_ratios(facts: DataFrame, c: float = 1.0, max_iter: int = 1000) -> DataFrame:
+def odds_ratios(facts: DataFrame, c: float = 1.0, max_iter: int = 100) -> DataFrame:
     """Odds ratio of each standardized feature, largest first, also per unit.
 
     The features are kept, on disk where memory is short, over the passes of the fit; lost
@@ -116,12 +172,13 @@ def odds_ratios(facts: DataFrame, c: float = 1.0, max_iter: int = 1000) -> DataF
     raw.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         scale = _scale(raw, names)
-        model = fit_logit(_scaled(raw, names, scale), names, "label", c, max_iter)
+        x = {n: (F.col(n) - scale[n]["mean"]) / scale[n]["std"] for n in names}
+        model = fit_logit(raw, x, "label", c, max_iter)
     finally:
         raw.unpersist()
     rows = [
-        (name, float(w), float(scale[name]["std"]), FEATURES[name] + PHRASE)
-        for name, w in zip(names, model.coefficients)
+        (name, model.coefficients[name], float(scale[name]["std"]), FEATURES[name] + PHRASE)
+        for name in names
     ]
     table = spark.createDataFrame(rows, "feature string, coef double, std double, phrase string")
     per_std = F.exp("coef")
@@ -151,7 +208,7 @@ def single_feature_logit(
         model = fit_logit(counts, ["x"], "y", c, weight="w")
     finally:
         counts.unpersist()
-    row = [(feature, float(model.coefficients[0]), float(model.intercept))]
+    row = [(feature, model.coefficients["x"], model.intercept)]
     return facts.sparkSession.createDataFrame(
         row, "feature string, coef double, intercept double"
     )

@@ -5,16 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parecer.functions import fixed_values as fv
 from parecer.functions.measures import flag, share
 from parecer.functions.text import tokenize, vector_words, with_bigrams
+from parecer.operators import topic_model
 from parecer.operators.ranking import sort_topk
 from parecer.operators.texts import BAD, MESSAGE, with_order_delay, written
 
@@ -78,90 +76,84 @@ def vocabulary(
 
 @dataclass
 class TopicModel:
-    """A fitted model with its vocabulary, at most ``vocabulary_size`` terms. A model of a
-    corpus without terms is empty: it has no words and assigns no topic."""
+    """A topic matrix (topics × words) with its words, at most ``vocabulary_size``. A model of
+    a corpus without terms is empty: it has no words and assigns no topic."""
 
-    vectorizer: CountVectorizerModel | None
-    lda: LDAModel | None
+    words: list[str]
+    matrix: np.ndarray | None
     k: int
 
-    def topics(self, spark, n_words: int = 12) -> DataFrame:
-        """The heaviest words of each topic with their weight: topic, rank, word, weight, prob.
-
-        The matrix is vocabulary × topics, bounded by the vocabulary size whatever the corpus.
-        """
-        matrix = self.lda.topicsMatrix().toArray() if self.lda else None
-        words = self.vectorizer.vocabulary if self.vectorizer else []
-        rows = []
-        for topic in range(self.k if words else 0):
-            weights = matrix[:, topic]
-            best = sorted(range(len(words)), key=lambda i: (-weights[i], words[i]))[:n_words]
-            rows += [
-                (topic + 1, rank + 1, words[i], float(weights[i]),
-                 float(weights[i] / weights.sum()))
-                for rank, i in enumerate(best)
-            ]
-        return spark.createDataFrame(
-            rows, "topic int, rank int, word string, weight double, prob double"
-        )
+    def topics(self, spark: SparkSession, n_words: int = 12) -> DataFrame:
+        """The heaviest words of each topic with their weight: topic, rank, word, weight, prob."""
+        matrix = self.matrix if self.words else np.zeros((0, 0))
+        return topic_model.matrix_rows(spark, self.words, matrix, n_words)
 
     def assign(self, docs: DataFrame) -> DataFrame:
         """Adds each document's heaviest topic, the first one on ties; of an empty model null."""
-        if self.lda is None:
+        if not self.words:
             return docs.withColumn("topic", F.lit(None).cast("int"))
-        weights = F.col("weights")
-        vectors = self.vectorizer.transform(docs)
-        return (
-            self.lda.transform(vectors)
-            .withColumn("weights", vector_to_array("topicDistribution"))
-            .withColumn("topic", F.array_position(weights, F.array_max(weights)).cast("int"))
-            .drop("features", "topicDistribution", "weights")
-        )
+        return topic_model.fold_in(docs, self.words, self.matrix)
+
+
+def _words(docs: DataFrame, min_df: int, max_df: float, size: int) -> list[str]:
+    return [r["term"] for r in vocabulary(docs, min_df, max_df, size).collect()]
 
 
 def fit_topics(
     docs: DataFrame,
     k: int = 6,
-    fraction: float = 1 / 17,
-    iterations: int = 340,
+    batches: int = 17,
+    passes: int = 20,
     seed: int = 42,
     min_df: int = 10,
     max_df: float = 0.5,
     vocabulary_size: int = 2000,
+    offset: float = 10.0,
+    decay: float = 0.7,
 ) -> TopicModel:
     """Online variational LDA over the documents' ``terms``.
 
-    Each of the ``iterations`` learns from a drawn ``fraction`` of the documents, so the
-    schedule is the same for a corpus of any size. By default that is 20 passes over the
-    documents in 17 parts each. A larger fraction with fewer iterations costs fewer jobs; the
-    product of both is the number of passes. Without a term in the bounds the model is empty.
-    Only the vocabulary and the topic matrix pass through the driver; both are bounded by
-    ``vocabulary_size``.
+    The documents are dealt once into ``batches`` stored mini-batches, and each update reads
+    one of them, so a fit makes ``batches * passes`` updates and reads the corpus ``passes``
+    times, for a corpus of any size; ``topic_model`` tells how. Without a term in the bounds
+    the model is empty. Only the vocabulary and the topic matrix pass through the driver; both
+    are bounded by ``vocabulary_size``.
     """
-    words = [r["term"] for r in vocabulary(docs, min_df, max_df, vocabulary_size).collect()]
+    words = _words(docs, min_df, max_df, vocabulary_size)
+    if not words:
+        return TopicModel([], None, k)
+    shards = topic_model.stored_shards(docs, words, batches)
+    matrix = topic_model.learn(shards, batches, len(words), k, passes, seed, offset, decay)
+    return TopicModel(words, matrix, k)
+
+
+def grouped_topics(
+    docs: DataFrame,
+    group: Column,
+    k: int,
+    min_df: int = 10,
+    max_df: float = 0.5,
+    vocabulary_size: int = 2000,
+) -> TopicModel:
+    """Topics given by groups of documents instead of learnt: a word's weight in topic t is how
+    often the documents of group t (1 to k; others and null count nowhere) have it, plus 1/k."""
+    words = _words(docs, min_df, max_df, vocabulary_size)
     if not words:
-        return TopicModel(None, None, k)
-    vectorizer = CountVectorizerModel.from_vocabulary(
-        words, inputCol="terms", outputCol="features"
+        return TopicModel([], None, k)
+    number = {w: i for i, w in enumerate(words)}
+    listed = docs.sparkSession.createDataFrame([(w,) for w in words], "term string")
+    # At most ``vocabulary_size`` rows on the smaller side, and that times k in the result.
+    counts = (
+        docs.select(group.alias("topic"), F.explode("terms").alias("term"))
+        .where(F.col("topic").between(1, k))
+        .join(F.broadcast(listed), "term")
+        .groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
+        .collect()
     )
-    vectors = vectorizer.transform(docs).select("features")
-    vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        lda = LDA(
-            k=k,
-            optimizer="online",
-            docConcentration=[1.0 / k] * k,
-            topicConcentration=1.0 / k,
-            learningOffset=10.0,
-            learningDecay=0.7,
-            optimizeDocConcentration=False,
-            seed=seed,
-            subsamplingRate=fraction,
-            maxIter=iterations,
-        ).fit(vectors)
-    finally:
-        vectors.unpersist()
-    return TopicModel(vectorizer, lda, k)
+    matrix = np.full((k, len(words)), 1.0 / k)
+    for r in counts:
+        matrix[r["topic"] - 1, number[r["term"]]] += r["n"]
+    return TopicModel(words, matrix, k)
 
 
 def topic_share(assigned: DataFrame, k: int = 6) -> DataFrame:

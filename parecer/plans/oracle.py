@@ -12,8 +12,9 @@ from collections.abc import Mapping, Sequence
 
 from parecer.functions import fixed_values as fv
 from parecer.functions.ladders import Ladder
-from parecer.operators.models import FEATURES
-from parecer.plans.catalog import SAMPLE_THEMES, SAMPLE_WORD_THEMES, SAMPLE_WORDS
+from parecer.operators.models import FEATURES, PHRASE
+from parecer.operators.topic_model import DIGAMMA_SHIFT, FOLD_IN_STEPS
+from parecer.plans.catalog import SAMPLE_THEMES, SAMPLE_WORD_THEMES, SAMPLE_WORDS, TOPIC_GROUPS
 from parecer.sources.schemas import ROLLUPS, TABLES, TIMESTAMP_COLUMNS
 from parecer.sources.star_schema import ADAPTER_SQL
 
@@ -469,6 +470,12 @@ def _sources(words: Sequence[str]) -> str:
           {num(pct(said, "COUNT(*)"))} AS named_pct FROM texts WHERE review_score <= 2"""
 
 
+PARTS["l0_words"] = """
+    WITH u AS (SELECT review_id, unnest(terms) AS term FROM corpus_terms)
+    SELECT term, COUNT(*) AS tf, COUNT(DISTINCT review_id) AS df FROM u GROUP BY term
+    HAVING COUNT(DISTINCT review_id) >= 10
+      AND COUNT(DISTINCT review_id) <= 0.5 * (SELECT COUNT(*) FROM corpus)
+    ORDER BY tf DESC, term LIMIT 2000"""
 PARTS["score_topics"] = f"""
     SELECT topic, word, rank FROM (
       SELECT topic, word, ROW_NUMBER() OVER (PARTITION BY topic ORDER BY n DESC, word) AS rank
@@ -481,14 +488,16 @@ PARTS["score_topics"] = f"""
     WHERE rank <= 8"""
 
 
-def _topic_label(lexicons: Mapping[str, Sequence[str]]) -> str:
+def _topic_label(
+    lexicons: Mapping[str, Sequence[str]], words: str = "score_topics"
+) -> str:
     return f"""
         WITH s AS (
           SELECT t.topic, l.ord, l.theme AS label, COUNT(h.word) AS score
-          FROM (SELECT DISTINCT topic FROM score_topics) t
+          FROM (SELECT DISTINCT topic FROM {words} AS w) t
           CROSS JOIN (SELECT ord, theme FROM {listed(list(lexicons), "theme")}) l
-          LEFT JOIN (SELECT topic, lexicon.theme, score_topics.word FROM score_topics
-                     JOIN {pairs(lexicons)} ON score_topics.word = lexicon.word) h
+          LEFT JOIN (SELECT topic, lexicon.theme, w.word FROM {words} AS w
+                     JOIN {pairs(lexicons)} ON w.word = lexicon.word) h
             ON h.topic = t.topic AND h.theme = l.theme
           GROUP BY ALL)
         SELECT {whole("topic")} AS topic, {whole("place")} AS place, label,
@@ -497,6 +506,49 @@ def _topic_label(lexicons: Mapping[str, Sequence[str]]) -> str:
               FROM s) WHERE place <= 2"""
 
 
+def _digamma(x: str) -> str:
+    y = f"({x} + {DIGAMMA_SHIFT})"
+    series = f"ln{y} - 1 / (2 * {y}) - 1 / (12 * {y}**2) + 1 / (120 * {y}**4) - 1 / (252 * {y}**6)"
+    return "(" + series + "".join(f" - 1 / ({x} + {i})" for i in range(DIGAMMA_SHIFT)) + ")"
+
+
+_K = TOPIC_GROUPS
+PARTS["grouped_matrix"] = f"""
+    SELECT topic, v.term AS word, CAST(1 AS DOUBLE) / {_K} + COUNT(u.term) AS weight
+    FROM (SELECT unnest(range(1, {_K} + 1)) AS topic)
+    CROSS JOIN (SELECT term FROM l0_words) v
+    LEFT JOIN (SELECT review_id, unnest(terms) AS term FROM corpus_terms) u
+      ON u.term = v.term AND u.review_id % {_K} + 1 = topic
+    GROUP BY topic, v.term"""
+PARTS["grouped_topics"] = """
+    SELECT * FROM (SELECT *, weight / SUM(weight) OVER (PARTITION BY topic) AS prob,
+        ROW_NUMBER() OVER (PARTITION BY topic ORDER BY weight DESC, word) AS rank
+      FROM grouped_matrix) WHERE rank <= 12"""
+# The words' weights in each topic, and then each document's parameters by as many steps.
+PARTS["grouped_assigned"] = f"""
+    WITH b AS (SELECT word, list(exp({_digamma("weight")} - {_digamma("total")}) ORDER BY topic) AS b
+               FROM (SELECT *, SUM(weight) OVER (PARTITION BY topic) AS total FROM grouped_matrix)
+               GROUP BY word),
+    d AS (SELECT review_id, list({{'n': n, 'b': b}}) AS ws, SUM(n) AS n
+          FROM (SELECT review_id, term, CAST(COUNT(*) AS DOUBLE) AS n
+                FROM (SELECT review_id, unnest(terms) AS term FROM corpus_terms) GROUP BY ALL)
+          JOIN b ON b.word = term GROUP BY review_id),
+    g AS (SELECT review_id, list_reduce(
+            [[1 / CAST({_K} AS DOUBLE) + n / {_K} FOR i IN range({_K})]]
+              || [[CAST(0 AS DOUBLE)] FOR i IN range({FOLD_IN_STEPS})],
+            lambda g, z: list_transform([[exp({_digamma("x")}) FOR x IN g]], lambda e:
+              [1 / CAST({_K} AS DOUBLE) + e[t] * list_sum([w.n * w.b[t] / list_inner_product(e, w.b)
+               FOR w IN ws]) FOR t IN range(1, {_K} + 1)])[1]) AS g FROM d)
+    SELECT c.review_id, is_delayed, coalesce(list_position(
+        [x >= list_max(g) * (1 - 1e-9) FOR x IN g], true), 1) AS topic
+    FROM corpus c LEFT JOIN g ON g.review_id = c.review_id"""
+
+
+def _grouped_labels(n_words: int) -> str:
+    named = _topic_label(fv.TOPIC_LABEL_WORDS, f"(SELECT * FROM grouped_topics WHERE rank <= {n_words})")
+    return f"(SELECT topic AS of_topic, place, label FROM ({named}))"
+
+
 def _rates(where: str, k: str) -> str:
     return f"""
         SELECT category, orders, dr AS delay_rate, br AS bad_rate, {num("avg_gmv")} AS avg_gmv,
@@ -579,6 +631,51 @@ _LEVELS = (
 
 _BY_DELAY = case("delay_days", fv.DELAY_LADDER)
 
+def _odds_ratios() -> str:
+    """Newton steps over the standardized rows; each solves its equations by elimination on a
+    list of rows, the last entry of each being the right side."""
+    names = list(FEATURES)
+    size = len(names) + 1
+    scaled = ", ".join(
+        f"({f} - AVG({f}) OVER ()) / coalesce(NULLIF(stddev_pop({f}) OVER (), 0), 1) AS x{i + 1}"
+        for i, f in enumerate(names)
+    )
+    z = " + ".join(f"w[{i + 1}] * x{i}" for i in range(size))
+    rows = ", ".join(
+        "[" + ", ".join(
+            f"SUM(q * x{i} * x{j})" + (" + 1" if i == j and i else "") for j in range(size)
+        ) + f", SUM((p - y) * x{i})" + (f" + w[{i + 1}]" if i else "") + "]"
+        for i in range(size)
+    )
+    solved = f"""list_reduce([m] || [[[CAST(k AS DOUBLE)]] FOR k IN range(1, {size + 1})],
+        lambda a, k: [CASE WHEN i = k[1][1]
+            THEN [a[i][j] / a[i][i] FOR j IN range(1, {size + 2})]
+            ELSE [a[i][j] - a[i][CAST(k[1][1] AS INT)] * a[CAST(k[1][1] AS INT)][j]
+                  / a[CAST(k[1][1] AS INT)][CAST(k[1][1] AS INT)] FOR j IN range(1, {size + 2})] END
+          FOR i IN range(1, {size + 1})])"""
+    stds = ", ".join(f"coalesce(NULLIF(stddev_pop({f}), 0), 1)" for f in names)
+    phrases = ", ".join(quoted([FEATURES[f] + PHRASE]) for f in names)
+    return f"""
+        SELECT * FROM (WITH RECURSIVE r AS (SELECT CAST(1 AS DOUBLE) AS x0, {scaled},
+            CAST(is_bad AS DOUBLE) AS y FROM features),
+        fit AS (
+          SELECT 0 AS i, [CAST(0 AS DOUBLE) FOR k IN range({size})] AS w
+          UNION ALL
+          SELECT i + 1, [w[k] - s[k][{size + 1}] FOR k IN range(1, {size + 1})]
+          FROM (SELECT i, w, {solved} AS s
+                FROM (SELECT i, w, [{rows}] AS m
+                      FROM (SELECT *, p * (1 - p) AS q
+                            FROM (SELECT *, 1 / (1 + exp(-({z}))) AS p FROM fit, r WHERE i < 10))
+                      GROUP BY i, w))),
+        spread AS (SELECT [{stds}] AS stds FROM features),
+        told AS (SELECT [{quoted(names)}][k] AS feature, w[k + 1] AS coef, stds[k] AS std,
+                   [{phrases}][k] AS phrase
+                 FROM fit, spread, unnest(range(1, {size})) AS u(k) WHERE i = 10)
+        SELECT feature, {num("coef", 3)} AS coef, {num("exp(coef)", 3)} AS or_per_std,
+          {num("exp(coef / std)", 3)} AS or_per_unit,
+          phrase || printf('%.2f', exp(coef)) AS interpretation FROM told)"""
+
+
 RAW: dict[str, str] = {
     "read_tables": _profile({"reviews": "a_text_reviews"}),
     "parse_timestamps": f"SELECT order_id, {', '.join(map(_time, TIMESTAMP_COLUMNS))} "
@@ -838,6 +935,7 @@ RAW: dict[str, str] = {
         for f in FEATURES
     )
     + ", is_bad FROM features",
+    "t3_odds_ratios": _odds_ratios(),
     "t4_relative_risk": f"""
         WITH g AS (SELECT {cut_case("delay_days", fv.DELAY_CUT_EDGES, fv.DELAY_CUT_LABELS)}
                      AS delay_group, COUNT(*) AS n, AVG(is_bad) * 100 AS rate
@@ -912,14 +1010,34 @@ RAW: dict[str, str] = {
         FROM corpus""",
     "l0_ngrams": """SELECT review_id, len(terms) AS n_terms, array_to_string(terms, '|') AS terms
         FROM corpus_terms""",
-    "l0_vocabulary": f"""
-        WITH u AS (SELECT review_id, unnest(terms) AS term FROM corpus_terms)
-        SELECT term, COUNT(*) AS tf, COUNT(DISTINCT review_id) AS df FROM u GROUP BY term
-        HAVING COUNT(DISTINCT review_id) >= 10
-          AND COUNT(DISTINCT review_id) <= 0.5 * (SELECT COUNT(*) FROM corpus)
-        ORDER BY tf DESC, term LIMIT 2000""",
+    "l0_vocabulary": "SELECT term, tf, df FROM l0_words",
     "l2_topic_label": _topic_label(fv.TOPIC_LABEL_WORDS),
     "l2_topic_label_sample_themes": _topic_label(SAMPLE_THEMES),
+    "l1_grouped_topics": f"""SELECT {whole("topic")} AS topic, {whole("rank")} AS rank, word,
+        {num("weight")} AS weight, {num("prob")} AS prob FROM grouped_topics""",
+    "l2_grouped_topic_share": f"""
+        WITH l AS (SELECT of_topic, MAX(label) FILTER (place = 1) AS label_1,
+                     MAX(label) FILTER (place = 2) AS label_2 FROM {_grouped_labels(8)} GROUP BY 1),
+        n AS (SELECT topic, COUNT(*) AS n FROM grouped_assigned GROUP BY topic)
+        SELECT {whole("k")} AS topic, {whole("coalesce(n, 0)")} AS n,
+          {num(f"coalesce({pct('coalesce(n, 0)', 'SUM(n) OVER ()')}, 0)")} AS pct, label_1, label_2
+        FROM (SELECT unnest(range(1, {_K} + 1)) AS k) LEFT JOIN n ON n.topic = k
+        LEFT JOIN l ON of_topic = k""",
+    "l3_grouped_topic_by_delay": f"""
+        WITH n AS (SELECT topic, COUNT(*) FILTER (is_delayed = 1) AS late,
+                     COUNT(*) FILTER (is_delayed = 0) AS on_time FROM grouped_assigned GROUP BY topic),
+        s AS (SELECT k, coalesce(late, 0) AS late, coalesce(on_time, 0) AS on_time,
+                coalesce({pct('coalesce(late, 0)', 'SUM(late) OVER ()')}, 0) AS late_pct,
+                coalesce({pct('coalesce(on_time, 0)', 'SUM(on_time) OVER ()')}, 0) AS on_time_pct
+              FROM (SELECT unnest(range(1, {_K} + 1)) AS k) LEFT JOIN n ON n.topic = k)
+        SELECT {whole("k")} AS topic, label, {whole("late")} AS n_late,
+          {whole("on_time")} AS n_on_time, {num("late_pct")} AS late_pct,
+          {num("on_time_pct")} AS on_time_pct,
+          {num("late_pct / NULLIF(on_time_pct, 0)")} AS concentration,
+          on_time_pct = 0 AS concentration_is_infinite,
+          CASE WHEN on_time_pct = 0 OR late_pct / on_time_pct > 1.8 THEN 'late'
+               WHEN late_pct / on_time_pct < 0.5 THEN 'on_time' ELSE '' END AS mark
+        FROM s LEFT JOIN {_grouped_labels(6)} ON of_topic = k AND place = 1""",
     "r1_category_rates": _rates("orders >= 100", "LIMIT 10"),
     "r2_delay_lift": _lift(200),
     "r2_delay_lift_small": _lift(50),

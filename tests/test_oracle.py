@@ -13,7 +13,7 @@ from tools.check_oracle import compare, connect  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.01"
 ORACLES = entry.oracle_sql()
-ROWS_ONLY = {"t3_odds_ratios", "l1_lda_topics", "l2_topic_share", "l3_topic_by_delay"}
+ROWS_ONLY = {"l1_lda_topics", "l2_topic_share", "l3_topic_by_delay"}
 # The corpus operators have tests of their own.
 NAMES = list(catalog.QUERIES)
 

@@ -14,6 +14,7 @@ FOLDER = "/root/testdata/sf0.01"
 EAGER = {
     "read_tables", "table_sink", "read_rollups", "t3_odds_ratios", "t3_standardize", "t5_model", "t5_auc",
     "l0_vocabulary", "l1_lda_topics", "l2_topic_share", "l3_topic_by_delay",
+    "l1_grouped_topics", "l2_grouped_topic_share", "l3_grouped_topic_by_delay",
 }
 
 

@@ -109,7 +109,7 @@ def planted(spark):
     docs = spark.createDataFrame(
         data, "review_id string, planted int, is_delayed int, terms array<string>"
     ).cache()
-    return docs, topics.fit_topics(docs, fraction=1.0, iterations=30, min_df=2)
+    return docs, topics.fit_topics(docs, batches=4, passes=8, min_df=2)
 
 
 def test_topics_recover_the_planted_word_sets(spark, planted):
@@ -168,5 +168,5 @@ def test_no_vocabulary_gives_an_empty_model(spark):
 
 def test_the_schedule_does_not_depend_on_the_corpus():
     parameters = inspect.signature(topics.fit_topics).parameters
-    assert parameters["fraction"].default * parameters["iterations"].default == 20
+    assert (parameters["batches"].default, parameters["passes"].default) == (17, 20)
     assert not {"batch_size", "most_batches"} & set(parameters)
