@@ -14,6 +14,7 @@ from parecer.sources.schemas import (
     TABLES,
     TIMESTAMP_COLUMNS,
 )
+from parecer.sources.split_csv import read_split
 
 
 class LazyTables(Mapping):
@@ -50,30 +51,37 @@ def parse_timestamps(
     return df.withColumns(parsed) if parsed else df
 
 
-def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    """A CSV file or folder as text columns named by the first header.
+def _csv(spark: SparkSession, path: str, multi_line: bool, split: bool = True) -> DataFrame:
+    """A CSV file or folder as text columns named by the first header. Unless ``split`` is
+    off, files with line breaks inside quotes are read by as many tasks as others.
 
     A further file whose header has other names or another order stops the job, since its
     values would be taken for those of other columns. A byte-order mark is no part of a name.
     """
     options = {"header": True, "escape": '"', "multiLine": multi_line}
     names = [c.lstrip("\ufeff") for c in spark.read.options(**options).csv(path).columns]
+    if multi_line and split:
+        return read_split(spark, path, names, {"escape": '"'})
     schema = StructType([StructField(name, StringType()) for name in names])
     return spark.read.options(enforceSchema=False, **options).schema(schema).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """One CSV table. Columns are matched by header name; nothing is inferred from rows."""
-    return _typed(_csv(spark, path, table in MULTI_LINE_TABLES), TABLES.get(table, {}))
+def read_csv(spark: SparkSession, path: str, table: str, split: bool = True) -> DataFrame:
+    """One CSV table. Columns are matched by header name; nothing is inferred from rows.
+
+    ``split`` off reads a file of a table with free text in one task, which also takes quotes
+    inside unquoted fields.
+    """
+    return _typed(_csv(spark, path, table in MULTI_LINE_TABLES, split), TABLES.get(table, {}))
 
 
 def read_tables(
-    spark: SparkSession, folder: str, files: Mapping[str, str] | None = None
+    spark: SparkSession, folder: str, files: Mapping[str, str] | None = None, split: bool = True
 ) -> LazyTables:
     """The nine tables from CSV files or folders; ``files`` maps table to file name."""
     files = files or {name: f"{name}.csv" for name in TABLES}
     openers = {
-        name: (lambda n=name, f=file: read_csv(spark, f"{folder}/{f}", n))
+        name: (lambda n=name, f=file: read_csv(spark, f"{folder}/{f}", n, split))
         for name, file in files.items()
     }
     openers.setdefault("text_reviews", lambda: tables["reviews"])
