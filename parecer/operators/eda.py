@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ from parecer.operators.ranking import (
     nlargest,
     running_share,
     sort_topk,
+    sums_of_largest,
     value_counts,
     with_share,
 )
@@ -230,24 +232,38 @@ def seller_stats(items: DataFrame) -> DataFrame:
     )
 
 
+def seller_gmv(items: DataFrame) -> DataFrame:
+    """Value per seller."""
+    return items.groupBy("seller_id").agg(money_sum(F.col("price")).alias("gmv"))
+
+
 def seller_lorenz(items: DataFrame) -> DataFrame:
     """Sellers from largest to smallest with rank and cumulative share of value."""
-    gmv = items.groupBy("seller_id").agg(money_sum(F.col("price")).alias("gmv"))
-    return running_share(gmv, "gmv", "seller_id")
+    return running_share(seller_gmv(items), "gmv", "seller_id")
 
 
-def pareto(lorenz: DataFrame, percents: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """Share of value held by the top p % of sellers, whole sellers only, rounded down."""
-    tops = F.explode(F.array(*[F.lit(p) for p in percents])).alias("top_pct")
-    inside = F.col("rank") <= F.floor(F.col("n_total") * F.col("top_pct") / 100)
+def pareto(sellers: DataFrame, percents: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """Share of value held by the top p % of sellers, whole sellers only, rounded down.
+
+    ``sellers`` has one row each with ``gmv``. They are not ranked: the amount at the edge is
+    found from counts per range of amounts. They are kept, on disk where memory is short, over
+    those passes.
+    """
+    spark = sellers.sparkSession
+    whole = sellers.select((F.col("gmv") * 100).cast("long").alias("cents"))
+    whole.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n, total = whole.agg(F.count(F.lit(1)), F.sum("cents")).first()
+        tops = [n * p // 100 for p in percents]
+        sums = sums_of_largest(whole, "cents", tops)
+    finally:
+        whole.unpersist()
+    rows = [(p, k, s, total) for p, k, s in zip(percents, tops, sums)]
     return (
-        lorenz.select("rank", "n_total", "gmv", "total", tops)
-        .groupBy("top_pct")
-        .agg(
-            F.sum(flag(inside)).alias("n_sellers"),
-            share(F.sum(F.when(inside, F.col("gmv")).otherwise(0)), F.max("total")).alias(
-                "gmv_pct"
-            ),
+        spark.createDataFrame(rows, "top_pct int, n_sellers long, held long, total long")
+        .select(
+            "top_pct", "n_sellers",
+            share(from_cents(F.col("held")), from_cents(F.col("total"))).alias("gmv_pct"),
         )
         .orderBy("top_pct")
     )
@@ -262,13 +278,15 @@ def seller_order_hist(
     return histogram(value_counts(clipped, "x"), "x", bins)
 
 
-def summary(orders: DataFrame, reviews: DataFrame, items: DataFrame) -> DataFrame:
-    """The headline percentages in one row."""
+def summary(
+    orders: DataFrame, reviews: DataFrame, items: DataFrame, sellers: DataFrame | None = None
+) -> DataFrame:
+    """The headline percentages in one row; ``sellers`` with ``gmv`` if they are at hand."""
     score = F.col("review_score")
     scores = F.struct(
         rate_of(score >= 4).alias("good_pct"), rate_of(score <= 2).alias("bad_pct")
     )
-    top = pareto(seller_lorenz(items), [10]).select("gmv_pct")
+    top = pareto(seller_gmv(items) if sellers is None else sellers, [10]).select("gmv_pct")
     return (
         delay_rates(orders)
         .withColumn("scores", reviews.agg(scores.alias("scores")).scalar())

@@ -96,6 +96,71 @@ def histogram(counts: DataFrame, value: str, bins: int) -> DataFrame:
     )
 
 
+def sums_of_largest(
+    df: DataFrame, amount: str, ks: Sequence[int], ranges: int = 4096
+) -> list[int]:
+    """For each k the sum of the k largest values of a whole-number column, or of all if there
+    are fewer; nulls count nowhere.
+
+    Nothing is ranked: the range that holds the k-th largest value is cut into ``ranges``
+    equal ones again and again by counts and sums, until it is one value, of which as many
+    are taken as fit, or all in it belong. A round is one aggregate over ``df``, which should
+    be kept or stored; there are at most six, whatever the number of rows. One row per k
+    returns from each.
+    """
+    x = F.col(amount)
+    low, high = df.agg(F.min(x), F.max(x)).first()
+    # What is above the range of the k-th value, and the range: [low, low + span).
+    found = [0] * len(ks)
+    search = {
+        i: (k, 0, 0, low, high - low + 1) for i, k in enumerate(ks) if k > 0 and low is not None
+    }
+    while search:
+        steps = {i: -(-s[4] // ranges) for i, s in search.items()}
+        places = [
+            F.when(
+                (x >= start) & (x < start + span),
+                F.struct(F.lit(i).alias("i"),
+                         F.expr(f"({amount} - {start}) div {steps[i]}").alias("place")),
+            )
+            for i, (_, _, _, start, span) in search.items()
+        ]
+        inside = F.filter(F.array(*places), lambda p: p.isNotNull())
+        # At most ``ranges`` rows for each k from here on.
+        counts = (
+            df.select(x.cast("long").alias("x"), F.explode(inside).alias("p"))
+            .groupBy("p.i", "p.place").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sum"))
+        )
+        above = Window.partitionBy("i").orderBy(F.desc("place")).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        needed = F.create_map(*[F.lit(v) for i, s in search.items() for v in (i, s[0] - s[1])])
+        counts = counts.select(
+            "*", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"),
+            F.coalesce(F.sum("sum").over(above), F.lit(0)).alias("sum_above"),
+            F.min("place").over(Window.partitionBy("i")).alias("least"),
+            needed[F.col("i")].alias("needed"),
+        ).where(
+            (F.col("n_above") < F.col("needed"))
+            & ((F.col("n_above") + F.col("n") >= F.col("needed"))
+               | (F.col("place") == F.col("least")))
+        )
+        for r in counts.collect():
+            i = r["i"]
+            k, n, total, start, span = search[i]
+            n, total = n + r["n_above"], total + r["sum_above"]
+            end, start = start + span, start + r["place"] * steps[i]
+            if n + r["n"] <= k:
+                found[i] = total + r["sum"]
+            elif steps[i] == 1:
+                found[i] = total + (k - n) * start
+            else:
+                search[i] = (k, n, total, start, min(steps[i], end - start))
+                continue
+            del search[i]
+    return found
+
+
 def running_share(df: DataFrame, amount: str, key: str) -> DataFrame:
     """Rank, cumulative share and rank percentile of every row, largest amount first.
 

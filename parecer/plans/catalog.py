@@ -518,7 +518,7 @@ def eda_seller_lorenz(t: Tables) -> DataFrame:
 
 @query
 def eda_pareto(t: Tables) -> DataFrame:
-    return eda.pareto(eda.seller_lorenz(t["order_items"]))
+    return eda.pareto(eda.seller_gmv(t["order_items"]))
 
 
 @query

@@ -57,7 +57,7 @@ def explore(t: Tables) -> Results:
         "seller_lorenz": lorenz,
         "seller_pareto": eda.pareto(lorenz),
         "seller_orders": eda.seller_order_hist(items),
-        "summary": eda.summary(orders, reviews, items),
+        "summary": eda.summary(orders, reviews, items, lorenz),
     }
 
 

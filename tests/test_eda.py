@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -98,3 +100,27 @@ def test_shares_sum_to_100(make):
 def test_manual_sort_puts_unlisted_last(spark):
     df = spark.createDataFrame([("x",), ("b",), ("a",)], "k string")
     assert [r["k"] for r in ranking.manual_sort(df, "k", ["b", "a"]).collect()] == ["b", "a", "x"]
+
+
+@pytest.mark.parametrize("ranges", [2, 3, 4096])
+def test_sums_of_largest_against_a_sort(spark, ranges):
+    draw = random.Random(ranges)
+    for top in (3, 1000, 10**12):
+        values = [draw.randint(-top, top) for _ in range(200)] + [top] * 30 + [None] * 5
+        df = spark.createDataFrame([(v,) for v in values], "x long").cache()
+        known = sorted((v for v in values if v is not None), reverse=True)
+        ks = [0, 1, 29, 31, 115, 230, 999]
+        got = ranking.sums_of_largest(df, "x", ks, ranges)
+        assert got == [sum(known[:k]) for k in ks]
+    assert ranking.sums_of_largest(df.where("false"), "x", [1, 2]) == [0, 0]
+
+
+def test_pareto_ranks_no_sellers(spark, make, monkeypatch):
+    """Ties at the edge count as whole sellers, and no rank is worked out."""
+    items = [(str(i), "p", f"s{i}", float(10 + i % 2), 1.0) for i in range(40)]
+    t = make(order_items=items)
+    monkeypatch.setattr(eda, "running_share", None)
+    got = {r["top_pct"]: r for r in eda.pareto(eda.seller_gmv(t["order_items"]), (10, 55)).collect()}
+    assert got[10]["n_sellers"] == 4 and got[10]["gmv_pct"] == pytest.approx(4400 / 420)
+    assert got[55]["gmv_pct"] == pytest.approx((20 * 11 + 2 * 10) * 100 / 420)
+    assert eda.pareto(eda.seller_gmv(make()["order_items"])).first()["gmv_pct"] is None
