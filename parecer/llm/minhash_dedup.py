@@ -17,15 +17,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parecer.llm.components import connected_components
-from parecer.llm.storage import NO_ID, identity, small_batches, written
+from parecer.llm.storage import NO_ID, discarded, identity, small_batches, written
 from parecer.llm.words import BLANK_WORDS, U, Words, batches_of, blocks, mix, sequence_hashes
 
 SHINGLE = 5
 PERCENT = 75
 GROUPS = 20
 ROWS = 3
-#: Members of its buckets that a class is compared with before all that remain.
-TRIES = 4
+#: Rounds in which a class is compared with a few members drawn from its band values, and how
+#: many in each, before all that remain.
+TRIES = (1, 4, 4)
 
 _SETS = "id_key long, text_key long, n_shingles long, set_a long, set_b long"
 _SIGNED = _SETS + ", bits_a long, bits_b long, marks array<long>, bands array<long>"
@@ -132,63 +133,123 @@ def _full_sets(batches, size: int):
             )
 
 
-def tensor_keys(reps: DataFrame, groups: int) -> DataFrame:
-    """``id``, ``score``, ``i``, ``j``, ``key``: every pair of a first-collection and a
-    second-collection band value of a document that other documents share, by their places.
+def _shared_values(reps: DataFrame) -> DataFrame:
+    """``id``, ``place``, ``value`` of the band values that several classes have."""
+    values = reps.select(
+        "id", F.posexplode("bands").alias("place", "value")
+    ).select("id", F.col("place").cast("byte").alias("place"), "value")
+    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return written(values.join(shared.select("value"), "value"), "band-values")
+
 
-    Band values nobody shares are dropped before the pairs are formed. No pair of documents
-    is lost: two of them meet in a table only if they share both values of its key. The score
-    counts the documents met under the values, so it is highest amid a group of copies.
+def _mixed(values: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
+    """The rows of the band values that more than one component has, each with its component
+    and one of the value's members: by the hash of the id, so that values with common members
+    have few different ones. Other values lead to no link between components."""
+    placed = (
+        values.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+        .drop("component")
+        if labels else values.withColumn("comp", F.col("id"))
+    )
+    one = F.max_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(seed))).alias("one")
+    open_values = (
+        placed.groupBy("value")
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), one)
+        .where("low < high")
+        .select("value", F.col("one.id").alias("hub"), F.col("one.comp").alias("hub_comp"))
+    )
+    return written(placed.join(open_values, "value"), "open-values")
+
+
+def _drawn(mixed: DataFrame, reps: DataFrame, tries: int, percent: int, n_bits: int) -> DataFrame:
+    """Pairs of a class and a member of another component that it meets most often, up to
+    ``tries`` for each class, if they may be similar."""
+    often = Window.partitionBy("id").orderBy(F.desc("n"), "hub")
+    return (
+        mixed.where("comp != hub_comp")
+        .groupBy("id", "hub")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("place", F.row_number().over(often))
+        .where(F.col("place") <= tries)
+        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        .distinct()
+        .join(_side(reps, "a"), "a")
+        .join(_side(reps, "b"), "b")
+        .where(_may_be_similar(percent, n_bits))
+        .select("a", "b")
+    )
+
+
+def tensor_keys(values: DataFrame, groups: int) -> DataFrame:
+    """``id``, ``comp``, ``i``, ``j``, ``key``: every pair of a first-collection and a
+    second-collection band value of a class, by their places.
+
+    ``values`` are those that several components have. No pair of two components is lost: it
+    meets in a table only if it shares both values of the key, and then both are among them.
     """
-    values = reps.select("id", F.posexplode("bands").alias("place", "value"))
-    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    one = F.struct(F.col("place").cast("byte").alias("place"), "value")
-    kept = (
-        values.join(shared, "value")
-        .groupBy("id")
-        .agg(
-            F.sum("n").alias("score"),
-            F.collect_list(F.when(F.col("place") < groups, one)).alias("first"),
-            F.collect_list(F.when(F.col("place") >= groups, one)).alias("second"),
-        )
+    one = F.struct("place", "value")
+    kept = values.groupBy("id", "comp").agg(
+        F.collect_list(F.when(F.col("place") < groups, one)).alias("first"),
+        F.collect_list(F.when(F.col("place") >= groups, one)).alias("second"),
     )
-    pairs = kept.select("id", "score", "second", F.explode("first").alias("x")).select(
-        "id", "score", "x", F.explode("second").alias("y")
+    pairs = kept.select("id", "comp", "second", F.explode("first").alias("x")).select(
+        "id", "comp", "x", F.explode("second").alias("y")
     )
     return pairs.select(
-        "id", "score", F.col("x.place").alias("i"), F.col("y.place").alias("j"),
+        "id", "comp", F.col("x.place").alias("i"), F.col("y.place").alias("j"),
         F.xxhash64("x.value", "y.value").alias("key"),
     )
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``a``, ``b`` whose full sets are similar enough."""
+def _tables(keys: DataFrame) -> DataFrame:
+    """The rows of the tables that hold more than one component. Of tables with the same
+    members the first is kept: it is also the first in which any two of them meet."""
+    by_key = keys.groupBy("key").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
+        F.min(F.struct("i", "j")).alias("place"),
+    )
+    first = (
+        by_key.where("low < high").groupBy("n", "x", "y")
+        .agg(F.min_by("key", F.struct("place", "key")).alias("key")).select("key")
+    )
+    return written(keys.join(first, "key"), "tables")
+
+
+def verified(
+    pairs: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int, percent: int = PERCENT
+) -> DataFrame:
+    """The pairs ``a``, ``b`` whose full sets are similar enough. Sets are made for the classes
+    in the pairs alone, one for each, however many rows repeat its first row."""
+    pairs = written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = reps.select(
+        "id", F.col("rep").alias("id_key"), F.col("rep_text").alias("text_key")
+    ).join(ids, "id", "left_semi")
+    sets = written(
+        texts.join(wanted, ["id_key", "text_key"])
+        .select("id", "text")
+        .mapInArrow(partial(_full_sets, size=shingle), "id long, shingles array<long>")
+        .dropDuplicates(["id"]),
+        "shingle-sets",
+    )
     first = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_of_a"))
     second = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_of_b"))
     both = F.size(F.array_intersect("set_of_a", "set_of_b"))
-    return (
+    found = written(
         pairs.join(first, "a")
         .join(second, "b")
         .select("a", "b", both.alias("n"),
                 (F.size("set_of_a") + F.size("set_of_b")).alias("sizes"))
         .where(100 * F.col("n") >= percent * (F.col("sizes") - F.col("n")))
-        .select("a", "b")
-    )
-
-
-def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The buckets that hold more than one component, each with one of its members: by the
-    hash of the id, so that buckets with common members have few different ones."""
-    placed = buckets.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    drawn = F.xxhash64("id")
-    keys = (
-        placed.groupBy("key")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
-             F.max_by("id", drawn).alias("hub"), F.max_by("comp", drawn).alias("hub_comp"))
-        .where("low < high")
-        .select("key", "hub", "hub_comp")
+        .select("a", "b"),
+        "links",
     )
-    return written(placed.drop("component").join(keys, "key"), "open-buckets")
+    discarded(sets)
+    discarded(pairs)
+    return found
 
 
 def _may_be_similar(percent: int, n_bits: int):
@@ -228,7 +289,7 @@ def _across(open_buckets: DataFrame, reps: DataFrame, percent: int, groups: int,
     The tests stand inside the join, so a bucket's other pairs are not emitted, and a pair of
     several buckets is emitted in the first of them only.
     """
-    placed = open_buckets.select("key", "i", "j", "id", "comp").join(
+    placed = open_buckets.join(
         reps.select("id", "n_shingles", "bits_a", "bits_b", "marks", "bands"), "id"
     )
     one, two = _side(placed, "a", "key", "comp", "bands", "i", "j"), _side(
@@ -261,11 +322,12 @@ def _placed(
     """The signed rows, and each class with its first row (``rep``, ``rep_text``; rows without
     doc_id come last) and the component it belongs to.
 
-    Links are found in three rounds. First each class is compared with one other, the one met
-    most amid those it shares a key with. Then those in buckets of more than one component are
-    compared with ``TRIES`` members drawn from their buckets. These two spare the last round
-    most of its work: every pair of two components that still meet is compared, whatever was
-    tried before; pairs within a component would change nothing.
+    In each of the rounds of ``TRIES`` a class is compared with the members of other
+    components, one drawn from each of its band values, that it meets most often. Values that
+    a single component has are left out then, which takes a group of copies, however large,
+    out of the search once it is linked. The last round makes the tables of the values that
+    remain and compares every pair of two components that meet in one, whatever was tried
+    before; pairs within a component would change nothing.
     """
     spark = documents.sparkSession
     small_batches(spark)
@@ -287,52 +349,20 @@ def _placed(
                 F.xxhash64(*_ONE_SET).alias("id"), "r.bits_a", "r.bits_b", "r.marks", "r.bands"),
         "classes",
     )
-    keys = tensor_keys(reps, groups)
-    by_key = keys.groupBy("key").agg(
-        F.min("id").alias("least"), F.max("id").alias("most"),
-        F.max_by("id", "score").alias("hub"), F.max("score").alias("hub_score"),
-    )
-    buckets = written(
-        keys.join(by_key.where("least < most"), "key").drop("least", "most", "score"), "tables"
-    )
-    stars = written(
-        buckets.where("hub != id").groupBy("id").agg(F.max_by("hub", "hub_score").alias("a"))
-        .select("a", F.col("id").alias("b")),
-        "stars",
-    )
-    buckets = buckets.drop("hub", "hub_score")
-    wanted = buckets.select("id").distinct().join(
-        reps.select("id", F.col("rep").alias("id_key"), F.col("rep_text").alias("text_key")), "id"
-    )
-    sets = written(
-        texts.join(wanted, ["id_key", "text_key"])
-        .select("id", "text")
-        .mapInArrow(partial(_full_sets, size=shingle), "id long, shingles array<long>"),
-        "shingle-sets",
-    )
     n_bits = min(128, 2 * groups * rows)
-    links = written(verified(stars, sets, percent), "links")
-    labels = connected_components(links)
-    mixed = _mixed(buckets, labels)
-    # The more buckets lead to one member, the likelier the two are similar.
-    often = Window.partitionBy("id").orderBy(F.desc("n"), "hub")
-    drawn = (
-        mixed.where("comp != hub_comp")
-        .groupBy("id", "hub")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("place", F.row_number().over(often))
-        .where(F.col("place") <= TRIES)
-        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        .distinct()
-        .join(_side(reps, "a"), "a")
-        .join(_side(reps, "b"), "b")
-        .where(_may_be_similar(percent, n_bits))
-        .select("a", "b")
-    )
-    links = links.union(written(verified(drawn, sets, percent), "links"))
-    labels = connected_components(links)
-    mixed = _mixed(mixed.select("key", "i", "j", "id"), labels)
-    rest = written(verified(_across(mixed, reps, percent, groups, n_bits), sets, percent), "links")
+    values, links, labels = _shared_values(reps), None, None
+    for turn, tries in enumerate(TRIES):
+        mixed = _mixed(values, labels, turn)
+        discarded(values)
+        found = verified(_drawn(mixed, reps, tries, percent, n_bits), texts, reps, shingle, percent)
+        links = found if links is None else links.union(found)
+        labels = connected_components(links)
+        values = mixed.select("id", "place", "value")
+    mixed = _mixed(values, labels, len(TRIES))
+    discarded(values)
+    tables = _tables(tensor_keys(mixed, groups))
+    pairs = _across(tables, reps, percent, groups, n_bits)
+    rest = verified(pairs, texts, reps, shingle, percent)
     if not rest.isEmpty():
         labels = connected_components(links.union(rest))
     return signed, reps.select("id", "rep", "rep_text", *_ONE_SET).join(

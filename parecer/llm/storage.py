@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parecer.session import scratch_path
+from parecer.session import _file_system, scratch_path
 
 #: Rows that one Arrow batch carries to Python. Tasks cut batches further by bytes.
 BATCH_ROWS = 1024
@@ -27,6 +27,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` gave and nothing reads any more."""
+    paths = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+    for path in paths:
+        files, where = _file_system(df.sparkSession, path)
+        files.delete(where, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps what a Python worker holds at once to ``BATCH_ROWS`` rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

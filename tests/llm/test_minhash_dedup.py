@@ -103,3 +103,30 @@ def test_connected_components(spark, seed):
     frame = spark.createDataFrame(edges, "a long, b long")
     got = {r["id"]: r["component"] for r in connected_components(frame).collect()}
     assert got == {i: find(i) for i in list(parent)}
+
+
+@pytest.mark.parametrize("copies", [1, 300])
+def test_repeated_rows_make_one_set(spark, monkeypatch, copies):
+    """Two near texts without doc_id, each repeated: as many sets and pairs as of one copy."""
+    stored, sizes = m.written, {}
+
+    def told(df, name):
+        out = stored(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(m, "written", told)
+    texts = [(None, BASE[0]), (None, edited(1, BASE[0], 1))]
+    got = m.near_duplicates(documents(spark, texts * copies)).collect()
+    assert len(got) == 2 * copies and len({r["n_shingles"] for r in got}) <= 2
+    assert sizes["shingle-sets"] == [2] and sizes["pairs"][0] == 1 and sizes["links"] == [1]
+    assert len(m.one_of_each_group(documents(spark, texts * copies)).collect()) == 1
+
+
+def test_tables_with_the_same_members_are_one(spark):
+    rows = [(i, i % 2, t // 3, t % 3, t) for t in range(9) for i in (range(4) if t != 4 else range(3))]
+    keys = spark.createDataFrame(rows, "id long, comp long, i int, j int, key long")
+    got = m._tables(keys.union(keys.limit(0))).select("key").distinct().collect()
+    assert sorted(r["key"] for r in got) == [0, 4]
+    one = m._tables(keys.withColumn("comp", keys["i"] * 0))
+    assert one.count() == 0
