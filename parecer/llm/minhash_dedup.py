@@ -165,23 +165,18 @@ def _drawn(mixed: DataFrame, reps: DataFrame, tries: int, percent: int, n_bits:
     """Pairs of a class and a member of another component that it meets most often, up to
     ``tries`` for each class, if they may be similar."""
     often = Window.partitionBy("id").orderBy(F.desc("n"), "hub")
-    hubs = (
+    return (
         mixed.where("comp != hub_comp")
         .groupBy("id", "hub")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("place", F.row_number().over(often))
         .where(F.col("place") <= tries)
-        .groupBy(F.col("id").alias("a"))
-        .agg(F.collect_list("hub").alias("hubs"))
-    )
-    # A class brings its wide columns once, whatever number of members it is compared with.
-    return (
-        hubs.join(_side(reps, "a"), "a")
-        .withColumn("b", F.explode("hubs"))
+        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        .distinct()
+        .join(_side(reps, "a"), "a")
         .join(_side(reps, "b"), "b")
         .where(_may_be_similar(percent, n_bits))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        .select("a", "b")
     )
 
 
