@@ -51,32 +51,44 @@ def parse_timestamps(
     return df.withColumns(parsed) if parsed else df
 
 
-def _csv(spark: SparkSession, path: str, multi_line: bool, split: bool = True) -> DataFrame:
-    """A CSV file or folder as text columns named by the first header. Unless ``split`` is
-    off, files with line breaks inside quotes are read by as many tasks as others.
+def _exceeds_a_split(spark: SparkSession, path: str) -> bool:
+    """Whether a file is larger than what a scan gives one task."""
+    largest = spark.read.format("binaryFile").load(path).select(F.max("length")).first()[0] or 0
+    return largest > spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
+def _csv(
+    spark: SparkSession, path: str, multi_line: bool, split: bool | None = None
+) -> DataFrame:
+    """A CSV file or folder as text columns named by the first header. Files with line breaks
+    inside quotes are read by as many tasks as others if ``split``, by default if one of them
+    is large enough for two.
 
     A further file whose header has other names or another order stops the job, since its
     values would be taken for those of other columns. A byte-order mark is no part of a name.
     """
     options = {"header": True, "escape": '"', "multiLine": multi_line}
     names = [c.lstrip("\ufeff") for c in spark.read.options(**options).csv(path).columns]
-    if multi_line and split:
+    if multi_line and (_exceeds_a_split(spark, path) if split is None else split):
         return read_split(spark, path, names, {"escape": '"'})
     schema = StructType([StructField(name, StringType()) for name in names])
     return spark.read.options(enforceSchema=False, **options).schema(schema).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, table: str, split: bool = True) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, table: str, split: bool | None = None
+) -> DataFrame:
     """One CSV table. Columns are matched by header name; nothing is inferred from rows.
 
-    ``split`` off reads a file of a table with free text in one task, which also takes quotes
-    inside unquoted fields.
+    A table with free text is read by splits where a file has several; ``split`` on or off
+    settles it. Off, a file goes to one task, which also takes quotes inside unquoted fields.
     """
     return _typed(_csv(spark, path, table in MULTI_LINE_TABLES, split), TABLES.get(table, {}))
 
 
 def read_tables(
-    spark: SparkSession, folder: str, files: Mapping[str, str] | None = None, split: bool = True
+    spark: SparkSession, folder: str, files: Mapping[str, str] | None = None,
+    split: bool | None = None,
 ) -> LazyTables:
     """The nine tables from CSV files or folders; ``files`` maps table to file name."""
     files = files or {name: f"{name}.csv" for name in TABLES}

@@ -70,7 +70,7 @@ def test_carriage_returns_and_empty_lines(spark, tmp_path):
     path.write_text(
         f'{HEADER}\r\nr1,a,1,"x\r\ny",\r\n\r\nr2,b,2,,"z"\r\n', encoding="utf-8", newline=""
     )
-    got = rows(io.read_csv(spark, str(path), "reviews").orderBy("review_id"))
+    got = rows(io.read_csv(spark, str(path), "reviews", split=True).orderBy("review_id"))
     assert [r[0:5] for r in got] == [("r1", "a", 1, "x\ny", None), ("r2", "b", 2, None, "z")]
 
 
@@ -78,7 +78,7 @@ def test_a_quote_inside_an_unquoted_field_stops_the_job(spark, tmp_path):
     path = tmp_path / "reviews.csv"
     path.write_text(f'{HEADER}\nr1,a,1,5" screen,ok\nr2,b,2,6" tv,ok\n', encoding="utf-8")
     with pytest.raises(Exception, match="unsplit"):
-        io.read_csv(spark, str(path), "reviews").collect()
+        io.read_csv(spark, str(path), "reviews", split=True).collect()
     assert io.read_csv(spark, str(path), "reviews", split=False).count() == 2
 
 
@@ -88,13 +88,13 @@ def test_another_header_stops_the_job(spark, tmp_path):
     review_file(folder / "a.csv", 1, 5)
     (folder / "b.csv").write_text("order_id,review_id,review_score,t,m\no,r,1,,\n")
     with pytest.raises(Exception, match="another header"):
-        io.read_csv(spark, str(folder), "reviews").count()
+        io.read_csv(spark, str(folder), "reviews", split=True).count()
 
 
 def test_splits_that_changed_stop_the_job(spark, tmp_path):
     path = tmp_path / "reviews.csv"
     review_file(path, 7, 200)
-    table = io.read_csv(spark, str(path), "reviews")
+    table = io.read_csv(spark, str(path), "reviews", split=True)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
@@ -108,4 +108,6 @@ def test_splits_that_changed_stop_the_job(spark, tmp_path):
 def test_only_a_header(spark, tmp_path):
     path = tmp_path / "reviews.csv"
     path.write_text(HEADER)
-    assert rows(io.read_csv(spark, str(path), "reviews")) == []
+    assert rows(io.read_csv(spark, str(path), "reviews", split=True)) == []
+    plan = io.read_csv(spark, str(path), "reviews")._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan  # one split, one task
