@@ -35,16 +35,33 @@ _WORD = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u2
 _OTHER_BLANKS = re.compile("[\\x1c-\\x1f]")
 #: Stands between words that are encoded together; a character for private use.
 _BETWEEN = "\ue000"
+#: Lower-case letters and the numbers of Latin-1; what else it has but blanks counts as signs.
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: How the tokenizer splits words of Latin-1: ends of English words, letters, single numbers, signs.
+_PIECES = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+"
+)
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: The vocabulary writes bytes that are no visible character as those from U+0100 on.
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def _plain(word: str) -> bool:
+    """Whether a word is Latin-1 and holds no special token."""
+    return "<|" not in word and (word.isascii() or max(word) <= "\xff")
 
 
 class Encoder:
     """Token ids of texts. The tokenizer drops white space and never joins what it separates,
     and no composed character spans it, so each word is encoded once and remembered. Two
-    generations of words are kept; the older one goes when the younger is full."""
+    generations of words are kept; the older one goes when the younger is full. A word of
+    Latin-1 is put together from its pieces, most of which are words met before; any other
+    goes through the whole tokenizer."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.remembered = remembered
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -54,8 +71,28 @@ class Encoder:
         encoded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(encoded.ids, dtype="<u4")
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece, which as a word is itself its only piece."""
+        ids = self.young.get(piece) or self.old.get(piece)
+        if ids is None:
+            if not (piece.isascii() and piece.isprintable()):
+                shown = piece.encode().decode("latin-1").translate(_BYTES)
+            else:
+                shown = piece
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        self.young[piece] = ids
+        return ids
+
     def _encode_words(self, words: list[str]) -> None:
-        plain = [w for w in words if _BETWEEN not in w]
+        others = []
+        for word in words:
+            if _plain(word):
+                low = word.lower()
+                pieces = [low] if low.isalpha() else _PIECES.findall(low)
+                self.young[word] = b"".join([self._piece(p) for p in pieces])
+            else:
+                others.append(word)
+        plain = [w for w in others if _BETWEEN not in w]
         for i in range(0, len(plain), 4096):
             part = plain[i:i + 4096]
             ids = self._ids(f" {_BETWEEN} ".join(part))
@@ -67,7 +104,7 @@ class Encoder:
             starts = [0, *(c + len(mark) for c in cuts)]
             for word, a, b in zip(part, starts, [*cuts, len(ids)], strict=True):
                 self.young[word] = ids[a:b].tobytes()
-        for word in words:
+        for word in others:
             if _BETWEEN in word:
                 self.young[word] = self._ids(word).tobytes()
 
@@ -79,13 +116,13 @@ class Encoder:
         if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
         young, old, unknown = self.young, self.old, []
-        for word in {w for words in split for w in words if w not in young}:
+        for word in set().union(*split).difference(young):
             if word in old:
                 young[word] = old[word]
             else:
                 unknown.append(word)
         self._encode_words(unknown)
-        return [b"".join([young[w] for w in words]) for words in split]
+        return [b"".join(map(young.__getitem__, words)) for words in split]
 
 
 class Levels:

@@ -47,6 +47,19 @@ def test_words_are_forgotten_and_encoded_again():
     assert [encoder.encode([t]) for t in texts] == [fresh.encode([t]) for t in texts]
 
 
+def test_words_put_together_from_pieces_have_the_tokenizers_ids():
+    plain, rng = Tokenizer.from_file(PATH), np.random.default_rng(4)
+    signs = [chr(c) for c in range(256)] + [
+        *"'stmdſİΣςé\u0301ﬁ日", "'s", "'LL", "<|endoftext|>", "<|", "\u0300", m._BETWEEN,
+    ]
+    texts = ["".join(rng.choice(signs, rng.integers(30))) for _ in range(3000)]
+    texts += ["".join(rng.choice(list("abÉ'stm.,1½ "), 20)) for _ in range(3000)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = m.Encoder(PATH, remembered=500)
+    got = [ids for i in range(0, len(texts), 50) for ids in encoder.encode(texts[i:i + 50])]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_placement_minimises_the_sum_of_squares(seed):
     draw = np.random.default_rng(seed)
