@@ -14,7 +14,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -194,41 +194,82 @@ def _sort_regions(batches, length: int):
         yield send(held)
 
 
-def _two_hashes(*columns):
-    return F.xxhash64(*columns).alias("h1"), F.xxhash64(*reversed(columns)).alias("h2")
+def _two_hashes(first: str, second: str, *columns):
+    return (
+        F.xxhash64(*columns).alias(first), F.xxhash64(*reversed(columns)).alias(second)
+    )
+
+
+def _part_rows(regions: DataFrame, length: int, part: int) -> DataFrame:
+    """One row per region and part: its first and last string, ``t1`` and ``t2``, and hashes of
+    its content (``g1``, ``g2``) and of its middle (``h1``, ``h2``)."""
+    first = F.floor(-F.col("lead") / part)
+    last = F.floor((F.col("windows") - 1 - F.col("lead")) / part)
+    begin = F.col("lead") + F.col("p") * part
+    return (
+        regions.select("*", F.explode(F.sequence(first, last)).alias("p"))
+        .select("*", F.greatest(F.lit(0), begin).cast("int").alias("t1"),
+                F.least(F.col("windows") - 1, begin + part - 1).cast("int").alias("t2"),
+                (begin + part - 1).cast("int").alias("middle"))
+        .select(
+            *_REGION, "n", "t1", "t2",
+            *_two_hashes("g1", "g2", "fp", F.col("t1") - F.col("lead"),
+                         F.col("t2") - F.col("lead"),
+                         F.expr(f"substring(bytes, t1 + 1, t2 - t1 + {length})")),
+            *_two_hashes("h1", "h2", "fp", "p",
+                         F.expr(f"substring(bytes, middle + 1, {length - part + 1})")),
+        )
+    )
 
 
 def split_anchor_ranges(regions: DataFrame, length: int, part: int = PART) -> DataFrame:
     """Ranges of repeated strings for anchors with more regions than one task sorts.
 
-    Strings are told apart by their place relative to the anchor. All strings of ``part``
-    consecutive places share the bytes in their middle, so a part whose middle occurs once is
-    done; the strings of the rest are compared one by one by their hashes. Every row is keyed
-    by content, so nothing of an anchor has to meet in one task.
+    Strings are told apart by their place relative to the anchor and go by parts of ``part``
+    consecutive places. Equal parts are one kind with a count; a kind that occurs again is
+    repeated as a whole. All strings of a part share the bytes in its middle, so of the other
+    kinds those whose middle occurs once are done. The strings of what remains, the edges of
+    passages, are compared one by one, those of a repeated kind once for all its regions. Every
+    row is keyed by content, so nothing of an anchor has to meet in one task.
     """
-    parts = regions.select(
-        "*", F.explode(F.sequence(F.floor(-F.col("lead") / part),
-                                  F.floor((F.col("windows") - 1 - F.col("lead")) / part))).alias("p")
-    ).select(
-        "*",
-        F.greatest(F.lit(0), F.col("lead") + F.col("p") * part).cast("int").alias("t1"),
-        F.least(F.col("windows") - 1, F.col("lead") + F.col("p") * part + part - 1)
-        .cast("int").alias("t2"),
-        (F.col("lead") + (F.col("p") + 1) * part - 1).cast("int").alias("middle"),
+    parts = written(_part_rows(regions, length, part), "parts")
+    kinds = written(
+        parts.groupBy("g1", "g2").agg(
+            F.sum("n").alias("total"), F.min(F.struct(*_REGION, "t1", "t2")).alias("at"),
+            F.min("h1").alias("h1"), F.min("h2").alias("h2"),
+        ),
+        "part-kinds",
+    )
+    again = kinds.where("total > 1").select("g1", "g2")
+    whole = parts.join(again, ["g1", "g2"], "left_semi").select(
+        *_REGION, F.col("t1").alias("first"), F.col("t2").alias("last")
     )
-    keyed = parts.select(
-        "*", *_two_hashes("fp", "p", F.expr(f"substring(bytes, middle + 1, {length - part + 1})"))
+    # Where a middle has repeated kinds alone there is nothing left to find.
+    middles = (
+        kinds.groupBy("h1", "h2")
+        .agg(F.sum("total").alias("all"), F.min("total").alias("least"))
+        .where("all > 1 AND least = 1")
     )
-    twice = keyed.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1")
-    left = keyed.join(twice.select("h1", "h2"), ["h1", "h2"], "left_semi").drop("h1", "h2")
-    strings = left.select(*_REGION, "n", "bytes", F.explode(F.sequence("t1", "t2")).alias("t")).select(
-        *_REGION, "n", "t", *_two_hashes("fp", F.expr(f"substring(bytes, t + 1, {length})"))
+    open_kinds = kinds.join(middles.select("h1", "h2"), ["h1", "h2"], "left_semi").select(
+        "total", "at.*"
     )
-    strings = written(strings, "strings")
-    same = strings.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1")
-    return strings.join(same.select("h1", "h2"), ["h1", "h2"], "left_semi").select(
-        *_REGION, F.col("t").alias("first"), F.col("t").alias("last")
+    strings = written(
+        open_kinds.join(regions.select(*_REGION, "bytes"), _REGION)
+        .select(*_REGION, "total", "bytes", F.explode(F.sequence("t1", "t2")).alias("t"))
+        .select(*_REGION, "total", "t",
+                *_two_hashes("s1", "s2", "fp", F.expr(f"substring(bytes, t + 1, {length})"))),
+        "strings",
     )
+    same = strings.groupBy("s1", "s2").agg(F.sum("total").alias("all")).where("all > 1")
+    found = strings.where("total = 1").join(same.select("s1", "s2"), ["s1", "s2"], "left_semi")
+    place = F.row_number().over(Window.partitionBy(*_REGION).orderBy("t"))
+    edges = (
+        found.select(*_REGION, "t", (F.col("t") - place).alias("run"))
+        .groupBy(*_REGION, "run")
+        .agg(F.min("t").alias("first"), F.max("t").alias("last"))
+        .drop("run")
+    )
+    return whole.unionByName(edges)
 
 
 def repeated_spans(
@@ -241,14 +282,18 @@ def repeated_spans(
     anchors = written(
         texts.mapInArrow(partial(_anchors, length=length, gram=gram), _ANCHORS), "anchors"
     )
-    often = anchors.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    places = written(anchors.join(often.select("fp"), "fp", "left_semi"), "shared-anchors")
+    # Written, as are the kinds below, so that the join shuffles plain rows on both sides and
+    # an anchor with many of them can be split.
+    often = written(
+        anchors.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"),
+        "frequent-anchors",
+    )
+    places = written(anchors.join(often, "fp", "left_semi"), "shared-anchors")
     regions = places.groupBy(*_REGION).agg(
         F.count(F.lit(1)).cast("int").alias("n"),
         F.min(F.struct("id_key", "text_key", "start")).alias("at"),
     )
     regions = written(regions, "regions")
-    # Written, so that the join shuffles both sides and an anchor with many regions is split.
     kinds = written(regions.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
     told = regions.join(kinds, "fp")
     whole = told.where("kinds = 1").select(
@@ -262,8 +307,11 @@ def repeated_spans(
         .agg(F.collect_list("region").alias("regions"))
     )
     cut = f"substring(bytes, r.start + 1, r.windows + {length - 1})"
+    copy = F.row_number().over(Window.partitionBy("id_key", "text_key").orderBy("id_key"))
     with_bytes = written(
         texts.join(asked, ["id_key", "text_key"])
+        .withColumn("copy", copy)
+        .where("copy = 1")
         .withColumn("bytes", F.col("text").cast("binary"))
         .select(F.expr(
             "inline(transform(regions, r -> named_struct('fp', r.fp, 'print', r.print, 'windows', "

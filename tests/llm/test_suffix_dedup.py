@@ -54,6 +54,30 @@ def test_texts_keep_whole_characters(spark):
     )
 
 
+def test_split_anchors_find_what_sorting_finds(spark):
+    rows = [(i, prose(100 + i, 25) + SHARED[: 250 + i] + prose(200 + i, 25)) for i in range(40)]
+    rows += [(50 + i, rows[0][1]) for i in range(3)] + [(60, rows[1][1][40:])]
+    got = [
+        sorted(map(tuple, m.without_repeats(
+            documents(spark, rows), length=100, gram=12, most_regions=most
+        ).collect())) for most in (1, 2000)
+    ]
+    assert got[0] == got[1]
+
+
+def test_repeated_rows_are_one_region(spark, monkeypatch):
+    made, write = {}, m.written
+    monkeypatch.setattr(m, "written", lambda df, name: made.setdefault(name, write(df, name)))
+    other = [(1, SHARED[:300] + prose(9, 30)), (2, prose(7, 9) + SHARED[:300])]
+    counts = []
+    for copies in (2, 300):
+        made.clear()
+        rows = [(None, SHARED + OTHER)] * copies + other
+        m.repeated_spans(documents(spark, rows).repartition(3), length=120)
+        counts.append([made[x].count() for x in ("regions", "region-texts")])
+    assert counts[0] == counts[1]
+
+
 def test_empty_table(spark):
     assert m.without_repeats(documents(spark, [])).collect() == []
 
