@@ -134,31 +134,45 @@ def _full_sets(batches, size: int):
 
 
 def _shared_values(reps: DataFrame) -> DataFrame:
-    """``id``, ``place``, ``value`` of the band values that several classes have."""
+    """``id``, ``place``, ``value`` of the band values that several classes have, and the
+    ``weight`` of the class: how many rows all its values have."""
     values = reps.select(
         "id", F.posexplode("bands").alias("place", "value")
     ).select("id", F.col("place").cast("byte").alias("place"), "value")
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return written(values.join(shared.select("value"), "value"), "band-values")
+    weighed = values.join(shared, "value").groupBy("id").agg(
+        F.sum("n").alias("weight"), F.collect_list(F.struct("place", "value")).alias("values")
+    )
+    return written(weighed.select("id", "weight", F.inline("values")), "band-values")
 
 
 def _mixed(values: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
     """The rows of the band values that more than one component has, each with its component
-    and one of the value's members: by the hash of the id, so that values with common members
-    have few different ones. Other values lead to no link between components."""
-    placed = (
-        values.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-        .drop("component")
-        if labels else values.withColumn("comp", F.col("id"))
-    )
-    one = F.max_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(seed))).alias("one")
+    and one of the value's members. Other values lead to no link between components.
+
+    While nothing is linked the member is the heaviest: copies of one original have more
+    values in common with it than with each other. Later it is drawn by the hash of the id, so
+    that values with common members have few different ones.
+    """
+    drawn = F.xxhash64("id", F.lit(seed))
+    if labels:
+        placed = values.join(labels, "id", "left").withColumn(
+            "comp", F.coalesce("component", "id")
+        ).drop("component")
+        order = drawn
+    else:
+        placed = values.withColumn("comp", F.col("id"))
+        order = F.struct("weight", drawn)
     open_values = (
         placed.groupBy("value")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), one)
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
+             F.max_by(F.struct("id", "comp"), order).alias("one"))
         .where("low < high")
         .select("value", F.col("one.id").alias("hub"), F.col("one.comp").alias("hub_comp"))
     )
-    return written(placed.join(open_values, "value"), "open-values")
+    return written(
+        placed.select("id", "place", "value", "comp").join(open_values, "value"), "open-values"
+    )
 
 
 def _drawn(mixed: DataFrame, reps: DataFrame, tries: int, percent: int, n_bits: int) -> DataFrame:
