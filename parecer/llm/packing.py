@@ -26,7 +26,7 @@ from parecer.llm.storage import once_per_process, small_batches
 WINDOW = 4096
 END_ID = 2
 #: Different words whose ids a task remembers.
-REMEMBERED = 350_000
+REMEMBERED = 600_000
 #: Bytes of ids that one batch of pieces carries.
 BATCH_BYTES = 1 << 23
 
