@@ -27,6 +27,9 @@ ROWS = 3
 #: Rounds in which a class is compared with a few members drawn from its band values, and how
 #: many in each, before all that remain.
 TRIES = (1, 4, 4)
+#: Classes with one value of the first collection from which on they are compared by that value,
+#: with the tables as a test of the pair, instead of one row for each of their tables.
+MANY = 100
 
 _SETS = "id_key long, text_key long, n_shingles long, set_a long, set_b long"
 _SIGNED = _SETS + ", bits_a long, bits_b long, marks array<long>, bands array<long>"
@@ -147,8 +150,9 @@ def _shared_values(reps: DataFrame) -> DataFrame:
 
 
 def _mixed(values: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
-    """The rows of the band values that more than one component has, each with its component
-    and one of the value's members. Other values lead to no link between components.
+    """The rows of the band values that more than one component has, each with its component,
+    one of the value's members and how many there are. Other values lead to no link between
+    components.
 
     While nothing is linked the member is the heaviest: copies of one original have more
     values in common with it than with each other. Later it is drawn by the hash of the id, so
@@ -166,9 +170,11 @@ def _mixed(values: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
     open_values = (
         placed.groupBy("value")
         .agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
-             F.max_by(F.struct("id", "comp"), order).alias("one"))
+             F.max_by(F.struct("id", "comp"), order).alias("one"),
+             F.count(F.lit(1)).alias("members"))
         .where("low < high")
-        .select("value", F.col("one.id").alias("hub"), F.col("one.comp").alias("hub_comp"))
+        .select("value", F.col("one.id").alias("hub"), F.col("one.comp").alias("hub_comp"),
+                "members")
     )
     return written(
         placed.select("id", "place", "value", "comp").join(open_values, "value"), "open-values"
@@ -297,6 +303,13 @@ def _side(reps: DataFrame, name: str, *more: str) -> DataFrame:
     )
 
 
+def _shared_from(start, n):
+    """Whether sides a and b have one of ``n`` band values from ``start`` on in common."""
+    return F.arrays_overlap(
+        F.slice("bands_a", start, n.cast("int")), F.slice("bands_b", start, n.cast("int"))
+    )
+
+
 def _across(open_buckets: DataFrame, reps: DataFrame, percent: int, groups: int, n_bits: int):
     """Every pair of two components that meet in a bucket and may be similar, once.
 
@@ -310,18 +323,40 @@ def _across(open_buckets: DataFrame, reps: DataFrame, percent: int, groups: int,
         placed, "b", "key", "comp", "bands"
     )
 
-    def earlier(start, n):
-        return F.arrays_overlap(
-            F.slice("bands_a", start, n.cast("int")), F.slice("bands_b", start, n.cast("int"))
-        )
-
     met = one.join(
         two,
         (F.col("key_a") == F.col("key_b"))
         & (F.col("comp_a") < F.col("comp_b"))
         & _may_be_similar(percent, n_bits)
-        & ~earlier(1, F.col("i_a"))
-        & ~earlier(groups + 1, F.col("j_a") - groups),
+        & ~_shared_from(1, F.col("i_a"))
+        & ~_shared_from(groups + 1, F.col("j_a") - groups),
+    )
+    return met.select("a", "b")
+
+
+def _across_many(values: DataFrame, reps: DataFrame, percent: int, groups: int, n_bits: int):
+    """What ``_across`` gives of the tables of ``values``, first-collection values that many
+    classes have, without a row for each table.
+
+    Two classes with such a value meet in one of its tables if they also share a value of the
+    second collection. A value's classes outside the component of its drawn member are compared
+    with all of it, so a component, however large, is not compared with itself. A pair of
+    several values is emitted in the first of them only.
+    """
+    placed = values.select(
+        "id", "comp", "place", F.col("value").alias("first_value"),
+        (F.col("comp") != F.col("hub_comp")).alias("outside"),
+    ).join(reps.select("id", "n_shingles", "bits_a", "bits_b", "marks", "bands"), "id")
+    one = _side(placed.where("outside"), "a", "first_value", "comp", "bands", "place")
+    two = _side(placed, "b", "first_value", "comp", "bands", "outside")
+    met = one.join(
+        two,
+        (F.col("first_value_a") == F.col("first_value_b"))
+        & (F.col("comp_a") != F.col("comp_b"))
+        & (~F.col("outside_b") | (F.col("a") < F.col("b")))
+        & _may_be_similar(percent, n_bits)
+        & _shared_from(groups + 1, F.lit(groups))
+        & ~_shared_from(1, F.col("place_a")),
     )
     return met.select("a", "b")
 
@@ -341,7 +376,8 @@ def _placed(
     a single component has are left out then, which takes a group of copies, however large,
     out of the search once it is linked. The last round makes the tables of the values that
     remain and compares every pair of two components that meet in one, whatever was tried
-    before; pairs within a component would change nothing.
+    before; pairs within a component would change nothing. Values that ``MANY`` classes have
+    are joined as such, and their tables are a test of the pair.
     """
     spark = documents.sparkSession
     small_batches(spark)
@@ -374,8 +410,11 @@ def _placed(
         values = mixed.select("id", "place", "value")
     mixed = _mixed(values, labels, len(TRIES))
     discarded(values)
-    tables = _tables(tensor_keys(mixed, groups))
-    pairs = _across(tables, reps, percent, groups, n_bits)
+    many = (F.col("place") < groups) & (F.col("members") >= MANY)
+    tables = _tables(tensor_keys(mixed.where(~many), groups))
+    pairs = _across(tables, reps, percent, groups, n_bits).union(
+        _across_many(mixed.where(many), reps, percent, groups, n_bits)
+    )
     rest = verified(pairs, texts, reps, shingle, percent)
     if not rest.isEmpty():
         labels = connected_components(links.union(rest))

@@ -130,3 +130,23 @@ def test_tables_with_the_same_members_are_one(spark):
     assert sorted(r["key"] for r in got) == [0, 4]
     one = m._tables(keys.withColumn("comp", keys["i"] * 0))
     assert one.count() == 0
+
+
+def test_values_of_many_classes_need_no_table_rows(spark, monkeypatch):
+    """Components are those of brute force, and the group of copies makes no rows of tables."""
+    stored, sizes = m.written, {}
+
+    def told(df, name):
+        out = stored(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    rows = TEXTS + [(1000 + i, edited(500 + i, BASE[0], 6 + i % 12)) for i in range(60)]
+    monkeypatch.setattr(m, "written", told)
+    monkeypatch.setattr(m, "TRIES", (1,))
+    for many in (1 << 40, 3):
+        monkeypatch.setattr(m, "MANY", many)
+        got = m.near_duplicates(documents(spark, rows)).drop("text_key").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows)))
+    (before, after), pairs = sizes["tables"], sizes["pairs"]
+    assert after < before / 4 and pairs[1] == pairs[3]
